@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .fingerprint import op10_fingerprint
+from .langid import op4_language
 from .shard import op1_shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
+    "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op10_fingerprint": op10_fingerprint,
 }
