@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP3_SQL, op3_chat
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .fingerprint import op10_fingerprint
 from .langid import op4_language
+from .packing import op5_packing
 from .shard import op1_shard
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
+    "op3_chat": op3_chat,
     "op4_language": op4_language,
+    "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_chat": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
 }
