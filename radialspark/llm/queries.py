@@ -12,6 +12,7 @@ from .fingerprint import op10_fingerprint
 from .langid import op4_language
 from .packing import op5_packing
 from .shard import op1_shard
+from .substring import OP7_SQL, op7_substring
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring": op7_substring,
     "op8_toxicity": op8_toxicity,
     "op10_fingerprint": op10_fingerprint,
 }
@@ -27,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op7_substring": OP7_SQL,
 }
