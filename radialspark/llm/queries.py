@@ -10,6 +10,7 @@ from .chat import OP3_SQL, op3_chat
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .fingerprint import op10_fingerprint
 from .langid import op4_language
+from .neardup import op2_neardup
 from .packing import op5_packing
 from .shard import op1_shard
 from .substring import OP7_SQL, op7_substring
@@ -17,6 +18,7 @@ from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
+    "op2_neardup": op2_neardup,
     "op3_chat": op3_chat,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
