@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import global_rank, table
+from .common import drop_scratch, global_rank, materialize, table
 
 SIZE, END = 1024, 2
 #: Intervals up to which their table is broadcast.
@@ -45,7 +45,7 @@ def encoder(path: str):
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[path] = lambda texts: [enc.encode_ordinary(t) for t in texts]
+            _ENCODERS[path] = lambda texts: [enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
         except (ImportError, FileNotFoundError):
             from tokenizers import Tokenizer
 
@@ -69,11 +69,11 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool
                 part = batch.slice(low, 256)
                 rows: list[list] = [[] for _ in range(6)]
                 for i, toks in enumerate(encode(part.column("text").fill_null("").to_pylist())):
-                    flat = np.array([*toks, END], "<u4")
+                    flat = np.append(np.asarray(toks, "<u4"), np.uint32(END))
                     first = len(flat) % size or size
                     starts = [0, *range(first, len(flat), size)]
                     for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(flat)], strict=True)):
-                        for column, value in zip(rows, (i, k, a, b - a, zlib.crc32(flat[a:b].tobytes()), flat[a:b] if ids else None), strict=True):
+                        for column, value in zip(rows, (i, k, a, b - a, zlib.crc32(flat[a:b]), flat[a:b] if ids else None), strict=True):
                             column.append(value)
                 out = [part.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:5])]
                 if ids:
@@ -181,7 +181,9 @@ def plan(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...],
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     """Pieces (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = cut.sparkSession
+    cut = materialize(cut)  # ranking reads its input twice, and tokenizing is dear
     ranked = global_rank(cut, ["length", F.asc_nulls_first("doc_id"), "piece"], "rank")
+    drop_scratch(cut)
     lengths = ranked.groupBy("length").agg(F.count("*").alias("n"), F.min("rank").alias("low")).collect()  # size rows at most
     hist = {r["length"]: r["n"] for r in lengths}
     at = {r["length"]: r["low"] for r in lengths}
