@@ -24,7 +24,7 @@ from .langid import _binary, chunks, held_out
 from .textbytes import PUNCT, Words
 
 #: Bounds of the labelled sample: rows per class and bytes per text (longer ones are left out of it).
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12_000
 #: Names of groups that are swapped for each other.
 IDENTITY = tuple(
     "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu "
