@@ -14,6 +14,7 @@ from .neardup import op2_neardup
 from .packing import op5_packing
 from .shard import op1_shard
 from .substring import OP7_SQL, op7_substring
+from .suffix import op9_suffix
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_substring": op7_substring,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix": op9_suffix,
     "op10_fingerprint": op10_fingerprint,
 }
 
