@@ -26,6 +26,8 @@ from .langid import chunks
 from .repeats import CHUNK, Units, covered, settle, spans, text_store, with_lists
 
 WINDOW, GRAM = 100, 32
+#: Bytes that are sorted together, unless one fingerprint has more.
+SHARD = 2 << 20
 
 
 def segments(store: DataFrame, look: DataFrame, window: int) -> DataFrame:
@@ -48,6 +50,29 @@ def segments(store: DataFrame, look: DataFrame, window: int) -> DataFrame:
     return some.mapInArrow(cut, "fp long, tid long, at int, n int, seg binary")
 
 
+def _late(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """tid, start of the windows in segments (tid, at, n, seg) that are equal to an earlier one."""
+    tid, at, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("tid", "at", "n"))
+    size = n + window  # each segment is followed by a separator
+    begin = np.cumsum(size) - size
+    s = np.ones(int(size.sum()) + 1, np.int16)  # 1 separates, bytes are 2 and more, 0 ends
+    inside = np.ones(len(s) - 1, bool)
+    inside[begin + size - 1] = False
+    s[:-1][inside] = np.frombuffer(b"".join(rows.column("seg").to_pylist()), np.uint8).astype(np.int16) + 2
+    s[-1] = 0
+    edge = np.zeros(len(s) + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + n, -1)
+    group, place = equal_windows(s, np.cumsum(edge)[:-1] > 0, window)
+    which = np.searchsorted(begin, place, "right") - 1
+    t, start = tid[which], at[which] + place - begin[which]
+    order = np.lexsort((start, t, group))
+    group, t, start = group[order], t[order], start[order]
+    late = np.zeros(len(group), bool)
+    late[1:] = group[1:] == group[:-1]
+    return pa.RecordBatch.from_arrays([pa.array(t[late]), pa.array(start[late].astype(np.int32))], ["tid", "start"])
+
+
 def later_windows(pieces: DataFrame, window: int) -> DataFrame:
     """tid, start of the windows in pieces that are equal to a window earlier in (tid, start); a shard per partition."""
 
@@ -55,28 +80,19 @@ def later_windows(pieces: DataFrame, window: int) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held).combine_chunks().sort_by("fp")
         del held
-        tid, at, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("tid", "at", "n"))
-        size = n + window  # each segment is followed by a separator
-        begin = np.cumsum(size) - size
-        s = np.ones(int(size.sum()) + 1, np.int16)  # 1 separates, bytes are 2 and more, 0 ends
-        flat = np.frombuffer(b"".join(rows.column("seg").to_pylist()), np.uint8)
-        inside = np.ones(len(s) - 1, bool)
-        inside[begin + size - 1] = False
-        s[:-1][inside] = flat.astype(np.int16) + 2
-        s[-1] = 0
-        edge = np.zeros(len(s) + 1, np.int64)
-        np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + n, -1)
-        group, place = equal_windows(s, np.cumsum(edge)[:-1] > 0, window)
-        which = np.searchsorted(begin, place, "right") - 1
-        t, start = tid[which], at[which] + place - begin[which]
-        order = np.lexsort((start, t, group))
-        group, t, start = group[order], t[order], start[order]
-        late = np.zeros(len(group), bool)
-        late[1:] = group[1:] == group[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(t[late]), pa.array(start[late].astype(np.int32))], ["tid", "start"])
+        # Equal windows share a fingerprint, so a shard may be cut between fingerprints.
+        fp = rows.column("fp").to_numpy()
+        ends = np.cumsum(rows.column("n").to_numpy().astype(np.int64) + window)
+        cuts = np.append(np.flatnonzero(fp[1:] != fp[:-1]) + 1, len(fp))
+        low = 0
+        while low < len(fp):
+            most = np.searchsorted(ends, (ends[low - 1] if low else 0) + SHARD, "right")
+            fits = cuts[(cuts > low) & (cuts <= most)]
+            high = int(fits[-1] if len(fits) else cuts[np.searchsorted(cuts, low, "right")])
+            yield _late(rows.slice(low, high - low), window)
+            low = high
 
     return pieces.mapInArrow(sort, "tid long, start int")
 
