@@ -6,8 +6,9 @@ of the darts that hit a coordinate of the signature, the earliest counts. Texts
 probability of their weighted Jaccard similarity, and only as many darts are thrown as the coordinates need.
 
 Signatures are cut into bands; texts with a common band are candidates. In each bucket of a band, pivots are compared with
-the members of other classes, exactly and on whole texts, until no two classes are left that have not been compared: no
-bucket is capped, and a bucket of copies costs one comparison per member. Links at or above the threshold join classes.
+the members of other classes, by signature first and then exactly and on whole texts, until no two classes that could be
+linked are left uncompared: no bucket is capped, and a bucket of copies costs one comparison per member. Links at or above
+the threshold join classes.
 
 Equal texts are one text from the start. Texts of fewer words than a shingle have one shingle of all their words; texts
 without words (null, empty) only equal each other. A null doc_id counts as the least one. Repeated rows share a class.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialize, table, text_key
@@ -30,6 +31,8 @@ from .textbytes import BASES, PUNCT, U64, Words, mix, prefix, ranges
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
+#: Deviations below the threshold from which a signature's estimate rules a pair out.
+SIGMAS = 5.5
 CHUNK = 1 << 19
 #: Pairs that a round after the first one compares at most, but for one pivot in every bucket.
 ROUND_PAIRS = 4_000_000
@@ -89,8 +92,8 @@ def dart_signatures(text: np.ndarray, shingle: np.ndarray, texts: int, k: int) -
     return sig
 
 
-def band_rows(store: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """store(tid, text) -> bucket, tid: a row per text and band."""
+def signatures(store: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """store(tid, text) -> tid, buckets (a key per band), sketch (a byte per coordinate), for texts with shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -101,11 +104,32 @@ def band_rows(store: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                     key = np.tile(mix(np.arange(1, bands + 1, dtype=U64)), (batch.num_rows, 1))
                     for r in range(rows):
                         key = mix(key * U64(0xD6E8FEB86659FD93) + sig[:, r::rows])
-                some = sig[:, 0] != 0
-                tids = np.repeat(batch.column("tid").to_numpy(zero_copy_only=False)[some], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].ravel().view(np.int64)), pa.array(tids)], ["bucket", "tid"])
+                some = np.flatnonzero(sig[:, 0])
+                key = key[some].view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), pa.array(key.ravel()))
+                bytes_ = pa.array([x.tobytes() for x in (sig[some] >> U64(32)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(some)), lists, bytes_], ["tid", "buckets", "sketch"])
 
-    return store.select("tid", "text").mapInArrow(sign, "bucket long, tid long")
+    return store.select("tid", "text").mapInArrow(sign, "tid long, buckets array<long>, sketch binary")
+
+
+def hopeful(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs whose signatures agree in no fewer coordinates than SIGMAS deviations below ``least``.
+
+    A pair at the threshold is lost here with a probability below 1e-7, less than a band-wise miss.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+                k = a.shape[1]
+                good = pa.array((a == b).sum(axis=1) >= k * least - SIGMAS * np.sqrt(k * least * (1 - least)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
+
+    left = pairs.join(sketches.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sketches.select(F.col("tid").alias("b"), F.col("sketch").alias("sb")), "b")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"))
 
 
 def jaccard(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.ndarray:
@@ -161,39 +185,85 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_classes(store: DataFrame, least: float = SIMILAR) -> DataFrame:
     """tid, c for the texts of store(tid, text) that are linked to another; all other texts are on their own."""
-    spark = store.sparkSession
-    rows = materialize(band_rows(store))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("tid").alias("h"), "tid")).alias("p"))
-    shared = materialize(shared.filter("n > 1").select("bucket", F.col("p.tid").alias("pivot")))
+    signed = materialize(signatures(store))
+    sketches = signed.select("tid", "sketch")
+    rows = signed.select(F.explode("buckets").alias("bucket"), "tid")
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     left = materialize(rows.join(shared, "bucket"))
-    drop_scratch(rows, shared)
-    pairs = materialize(left.filter("tid <> pivot").select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct())
-    links = linked(pairs, store, least)
-    checked = pairs
-    left = left.filter("tid <> pivot").select("bucket", "tid")
+    # A bucket's first pivot is the text that meets most others over all bands: the original, if a bucket holds copies of it.
+    met_by = materialize(left.groupBy("tid").agg(F.sum(F.col("n") - 1).alias("met")))
+    left = materialize(left.join(met_by, "tid").select("bucket", "tid", F.struct((-F.col("met")).alias("m"), F.xxhash64("tid").alias("h"), "tid").alias("p")))
+    first = materialize(left.groupBy("bucket").agg(F.min("p").alias("f")).select("bucket", F.col("f.tid").alias("pivot")))
+    left = materialize(left.join(first, "bucket").filter("tid <> pivot"))
+    checked = materialize(left.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct())
+    # Only texts with a candidate are moved again, once for all rounds.
+    store = materialize(store.select("tid", "text").join(met_by.select("tid"), "tid", "left_semi"))
+    drop_scratch(shared, first, met_by)
+    links = linked(hopeful(checked, sketches, least), store, least)
+    left = left.select("bucket", "tid", "p")
+    need = least / (1 + least)  # of the summed weights of two texts: what they must share
+    weights = None
     while True:
         label = components(links)
-        classed = left.join(label, "tid", "left").select("bucket", "tid", F.coalesce("c", "tid").alias("c"))
-        open_ = classed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-        rest = materialize(classed.join(open_, "bucket"))
+        classed = left.join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
+        rest = _open(classed)
+        if rest.isEmpty():
+            return label
+        if weights is None:
+            weights = shared_weights(store, rest.select("tid").distinct())
+            rest = materialize(rest.join(weights, "tid"))
+        # A text that shares too little even for the lightest of its bucket has no link there.
+        lightest = rest.groupBy("bucket").agg(F.min("w").alias("wm"))
+        rest = _open(rest.join(lightest, "bucket").filter(F.col("s") >= need * (F.col("w") + F.col("wm")) - 1e-6).drop("wm"))
         size = rest.count()
         if not size:
             return label
-        # A few pivots for each open bucket meet the members of other classes; then they are done in that bucket.
-        some = max(1, min(32, ROUND_PAIRS // size))
-        order = F.row_number().over(_by_bucket())
-        pivots = materialize(rest.withColumn("k", order).filter(F.col("k") <= some).select("bucket", F.col("tid").alias("p"), F.col("c").alias("pc")))
-        met = rest.join(pivots, "bucket").filter("c <> pc").select(F.least("tid", "p").alias("a"), F.greatest("tid", "p").alias("b")).distinct()
+        # Some pivots of each open bucket meet the members of other classes; then they are done in that bucket.
+        some = max(1, min(1024, ROUND_PAIRS // size))
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("p"))
+        pivots = rest.withColumn("k", order).filter(F.col("k") <= some)
+        pivots = materialize(pivots.select("bucket", F.col("tid").alias("q"), F.col("c").alias("qc"), F.col("w").alias("qw"), F.col("s").alias("qs")))
+        can = F.least("s", "qs") >= need * (F.col("w") + F.col("qw")) - 1e-6
+        met = rest.join(pivots, "bucket").filter((F.col("c") != F.col("qc")) & can)
+        met = met.select(F.least("tid", "q").alias("a"), F.greatest("tid", "q").alias("b")).distinct()
         fresh = materialize(met.join(checked, ["a", "b"], "left_anti"))
-        links = materialize(links.unionByName(linked(fresh, store, least)))
+        near = hopeful(fresh, sketches, least)
+        if not near.isEmpty():
+            links = materialize(links.unionByName(linked(near, store, least)))
         checked = materialize(checked.unionByName(fresh))
-        left = rest.join(pivots.select("bucket", F.col("p").alias("tid")), ["bucket", "tid"], "left_anti").select("bucket", "tid")
+        left = rest.join(pivots.select("bucket", F.col("q").alias("tid")), ["bucket", "tid"], "left_anti").drop("c")
 
 
-def _by_bucket():
-    from pyspark.sql import Window
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows(bucket, tid, c, ...) of buckets with more than one class."""
+    several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
+    return materialize(rows.join(several, "bucket"))
 
-    return Window.partitionBy("bucket").orderBy(F.xxhash64("tid"))
+
+def shared_weights(store: DataFrame, tids: DataFrame) -> DataFrame:
+    """tid, w (weight of the text's shingles) and s (of those that another of the tids has, too).
+
+    No two of the texts can share more than the smaller s: an exact bound that edits of one original, each unlike the
+    others, do not meet.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, most=CHUNK):
+                text, shingle = shingles(batch.column("text"))
+                order = np.lexsort((shingle, text))
+                text, shingle = text[order], shingle[order]
+                begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1]))) if len(text) else np.zeros(0, np.int64)
+                n = np.diff(np.append(begin, len(text)))
+                tids_ = batch.column("tid").to_numpy(zero_copy_only=False)[text[begin]]
+                yield pa.RecordBatch.from_arrays([pa.array(tids_), pa.array(shingle[begin].view(np.int64)), pa.array(n.astype(np.int64))], ["tid", "h", "n"])
+
+    rows = materialize(store.select("tid", "text").join(tids, "tid", "left_semi").mapInArrow(count, "tid long, h long, n long"))
+    shared = materialize(rows.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1").select("h", F.lit(True).alias("also")))
+    both = rows.join(shared, "h", "left").groupBy("tid").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("also"), F.col("n")).otherwise(0)).alias("s"))
+    both = materialize(both)
+    drop_scratch(rows, shared)
+    return both
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
