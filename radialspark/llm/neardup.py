@@ -5,10 +5,11 @@ which hashed darts land over time (a Poisson process whose gaps and targets are
 of the darts that hit a coordinate of the signature, the earliest counts. Texts thus agree in a coordinate with the
 probability of their weighted Jaccard similarity, and only as many darts are thrown as the coordinates need.
 
-Signatures are cut into bands; texts with a common band are candidates. In each bucket of a band, pivots are compared with
-the members of other classes, by signature first and then exactly and on whole texts, until no two classes that could be
-linked are left uncompared: no bucket is capped, and a bucket of copies costs one comparison per member. Links at or above
-the threshold join classes.
+Signatures are cut into bands; texts with a common band are candidates. In each bucket of a band, all members are first
+compared with one pivot, by signature and then exactly and on whole texts. Links at or above the threshold join classes.
+Then, of each bucket with several classes, what lies outside the largest one is compared with the members of other classes,
+until no two classes that could be linked are left uncompared. Exact bounds of what two texts share, taken from bitmaps,
+rule nearly all of these pairs out before they are made. No bucket is capped.
 
 Equal texts are one text from the start. Texts of fewer words than a shingle have one shingle of all their words; texts
 without words (null, empty) only equal each other. A null doc_id counts as the least one. Repeated rows share a class.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialize, table, text_key
@@ -34,8 +35,12 @@ BANDS, ROWS = 32, 5
 #: Deviations below the threshold from which a signature's estimate rules a pair out.
 SIGMAS = 5.5
 CHUNK = 1 << 19
-#: Pairs that a round after the first one compares at most, but for one pivot in every bucket.
-ROUND_PAIRS = 4_000_000
+#: 64-bit words of a text's bitmap of shared shingles.
+WORDS = 16
+#: Members of a bucket that a task compares with the bucket's pivots.
+BLOCK = 512
+#: Pairs a row above which a round takes only some pivots of each bucket (PIVOTS, four times as many in each later round).
+ROW_PAIRS, PIVOTS = 4, 8
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -200,51 +205,90 @@ def near_classes(store: DataFrame, least: float = SIMILAR) -> DataFrame:
     store = materialize(store.select("tid", "text").join(met_by.select("tid"), "tid", "left_semi"))
     drop_scratch(shared, first, met_by)
     links = linked(hopeful(checked, sketches, least), store, least)
-    left = left.select("bucket", "tid", "p")
-    need = least / (1 + least)  # of the summed weights of two texts: what they must share
-    weights = None
+    label = components(links)
+    drop_scratch(checked, links)
+    rest = left.select("bucket", "tid").join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
+    several = rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
+    rest = materialize(rest.join(several, "bucket"))
+    if rest.isEmpty():
+        return label
+    rest = materialize(rest.join(shared_bits(store, rest.select("tid").distinct()), "tid"))
+    some = PIVOTS
     while True:
-        label = components(links)
-        classed = left.join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
-        rest = _open(classed)
-        if rest.isEmpty():
+        rest = _open(rest, least)
+        rows = rest.count()
+        if not rows:
             return label
-        if weights is None:
-            weights = shared_weights(store, rest.select("tid").distinct())
-            rest = materialize(rest.join(weights, "tid"))
-        # A text that shares too little even for the lightest of its bucket has no link there.
-        lightest = rest.groupBy("bucket").agg(F.min("w").alias("wm"))
-        rest = _open(rest.join(lightest, "bucket").filter(F.col("s") >= need * (F.col("w") + F.col("wm")) - 1e-6).drop("wm"))
-        size = rest.count()
-        if not size:
+        met = meetings(rest, least)
+        last = met.count() <= ROW_PAIRS * rows
+        if not last:  # groups that the first pivots missed: a few more in each bucket join most of them
+            met = meetings(rest, least, some)
+        near = materialize(met.distinct())
+        found = linked(near.select("a", "b"), store, least)
+        if not found.isEmpty():
+            joined = near.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            merged = components(joined)
+            renamed = merged.select(F.col("tid").alias("c"), F.col("c").alias("to"))
+            alone = merged.join(label, "tid", "left_anti").select("tid", F.col("tid").alias("c"))
+            label = materialize(label.unionByName(alone).join(renamed, "c", "left").select("tid", F.coalesce("to", "c").alias("c")))
+            rest = rest.join(renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        if last:
             return label
-        # Some pivots of each open bucket meet the members of other classes; then they are done in that bucket.
-        some = max(1, min(1024, ROUND_PAIRS // size))
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("p"))
-        pivots = rest.withColumn("k", order).filter(F.col("k") <= some)
-        pivots = materialize(pivots.select("bucket", F.col("tid").alias("q"), F.col("c").alias("qc"), F.col("w").alias("qw"), F.col("s").alias("qs")))
-        can = F.least("s", "qs") >= need * (F.col("w") + F.col("qw")) - 1e-6
-        met = rest.join(pivots, "bucket").filter((F.col("c") != F.col("qc")) & can)
-        met = met.select(F.least("tid", "q").alias("a"), F.greatest("tid", "q").alias("b")).distinct()
-        fresh = materialize(met.join(checked, ["a", "b"], "left_anti"))
-        near = hopeful(fresh, sketches, least)
-        if not near.isEmpty():
-            links = materialize(links.unionByName(linked(near, store, least)))
-        checked = materialize(checked.unionByName(fresh))
-        left = rest.join(pivots.select("bucket", F.col("q").alias("tid")), ["bucket", "tid"], "left_anti").drop("c")
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows(bucket, tid, c, ...) of buckets with more than one class."""
-    several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    return materialize(rows.join(several, "bucket"))
-
-
-def shared_weights(store: DataFrame, tids: DataFrame) -> DataFrame:
-    """tid, w (weight of the text's shingles) and s (of those that another of the tids has, too).
-
-    No two of the texts can share more than the smaller s: an exact bound that edits of one original, each unlike the
-    others, do not meet.
+        rest = rest.filter(~F.col("pivot") | ~_chosen(some))
+        some *= 4
+
+
+def _open(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of buckets with several classes that can have a link there, and what their bucket holds.
+
+    A text that shares too little even for the lightest of its bucket has no link in it. pivot: the row is outside the
+    largest class of its bucket, so that comparing all such rows with the bucket leaves no two classes uncompared.
+    """
+    rows = rows.drop("size", "minor", "pivot")
+    lightest = rows.groupBy("bucket").agg(F.min("w").alias("wm"))
+    rows = rows.join(lightest, "bucket").filter(F.col("s") >= _need(least) * (F.col("w") + F.col("wm")) - 1e-6).drop("wm")
+    classes = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    buckets = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("classes"))
+    buckets = buckets.filter("classes > 1").select("bucket", "size", (F.col("size") - F.col("top.n")).alias("minor"), F.col("top.c").alias("main"))
+    return materialize(rows.join(buckets, "bucket").withColumn("pivot", F.col("c") != F.col("main")).drop("main"))
+
+
+def _need(least: float) -> float:
+    """Of the summed weights of two texts: what they must share."""
+    return least / (1 + least)
+
+
+def _chosen(some: int) -> Column:
+    """About ``some`` of a bucket's pivots; all of them once ``some`` has reached their number."""
+    return F.expr(f"pmod(xxhash64(tid, {some}), greatest(1, minor div {some})) = 0")
+
+
+def meetings(rest: DataFrame, least: float, some: int | None = None) -> DataFrame:
+    """a, b, ca, cb: pivots and members of other classes of one bucket that may be linked, once per common bucket.
+
+    Pairs are ruled out inside the join, by exact bounds of the shared weight, and never made. The members of a bucket are
+    split into blocks of BLOCK rows, and its pivots meet each block in another task.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    names = ["tid", "c", "w", "s", "over", *[f"m{i}" for i in range(WORDS)]]
+    pivots = rest.filter("pivot") if some is None else rest.filter(F.col("pivot") & _chosen(some))
+    left = pivots.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(n).alias(f"q_{n}") for n in names])
+    right = rest.select("bucket", F.pmod(F.xxhash64("tid"), blocks).cast("int").alias("block"), "pivot", *names)
+    once = F.lit(True) if some else ~F.col("pivot") | (F.col("q_tid") < F.col("tid"))
+    need = _need(least) * (F.col("w") + F.col("q_w")) - 1e-6
+    bits = sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"q_m{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("m0").bitwiseAND(F.col("q_m0"))))
+    may = (F.col("c") != F.col("q_c")) & once & (F.least("s", "q_s") >= need) & (bits + F.least("over", "q_over") >= need)
+    both = left.join(right, (left.bucket == right.bucket) & (left.block == right.block) & may)
+    first = F.col("tid") < F.col("q_tid")
+    return both.select(F.least("tid", "q_tid").alias("a"), F.greatest("tid", "q_tid").alias("b"), F.when(first, F.col("c")).otherwise(F.col("q_c")).alias("ca"), F.when(first, F.col("q_c")).otherwise(F.col("c")).alias("cb"))
+
+
+def shared_bits(store: DataFrame, tids: DataFrame) -> DataFrame:
+    """tid, w (weight of the text's shingles), s (of those that another of the tids has, too), m0, m1, ... and over.
+
+    The m are WORDS * 64 bits, set where a shared shingle falls; over is what s exceeds the number of set bits by. No two
+    of the texts can share more than the smaller s, or than their common bits and the smaller over: exact bounds, which
+    edits of one original, each unlike the others, do not meet.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +304,14 @@ def shared_weights(store: DataFrame, tids: DataFrame) -> DataFrame:
 
     rows = materialize(store.select("tid", "text").join(tids, "tid", "left_semi").mapInArrow(count, "tid long, h long, n long"))
     shared = materialize(rows.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1").select("h", F.lit(True).alias("also")))
-    both = rows.join(shared, "h", "left").groupBy("tid").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("also"), F.col("n")).otherwise(0)).alias("s"))
-    both = materialize(both)
+    word = F.when(F.col("also"), F.pmod(F.shiftright("h", 6), F.lit(WORDS)))
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    both = rows.join(shared, "h", "left").select("tid", "n", "also", word.alias("word"), bit.alias("bit"))
+    masks = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0)).cast("long").alias(f"m{i}") for i in range(WORDS)]
+    out = both.groupBy("tid").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("also"), F.col("n")).otherwise(0)).alias("s"), *masks)
+    out = materialize(out.withColumn("over", F.col("s") - sum((F.bit_count(f"m{i}") for i in range(1, WORDS)), F.bit_count("m0"))))
     drop_scratch(rows, shared)
-    return both
+    return out
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
