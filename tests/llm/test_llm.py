@@ -326,3 +326,12 @@ def test_pipeline(spark, real):
             assert decontaminate.matches(after, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("size(hits) > 0").isEmpty()
         docs = after
     assert pa and docs.agg(F.sum("length")).first()[0] > 0
+
+
+def test_near_dedup_by_growing_pivots(spark, monkeypatch):
+    """Taking a few pivots a round gives the classes that comparing all of them at once gives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    monkeypatch.setattr(neardup, "ROW_PAIRS", -1)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == want
