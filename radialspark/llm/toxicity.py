@@ -34,6 +34,8 @@ IDENTITY = tuple(
 #: A word takes part from so many sample texts on, and if its split over the classes is no chance (log-likelihood ratio).
 LEAST_TEXTS, LEAST_RATIO = 3, 14.0
 L1, L2, SWAP = 0.0002, 1e-4, 1.0
+#: Bytes of text that a task scores at once (a longer text alone).
+CHUNK = 1 << 19
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +138,7 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = held.value
         for big in batches:
-            for batch in chunks(big):
+            for batch in chunks(big, most=CHUNK):
                 out = np.zeros(batch.num_rows)
                 if found is not None:
                     vocab, weight, bias = found
