@@ -27,7 +27,7 @@ from .repeats import CHUNK, Units, covered, settle, spans, text_store, with_list
 
 WINDOW, GRAM = 100, 32
 #: Bytes that are sorted together, unless one fingerprint has more.
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 
 def segments(store: DataFrame, look: DataFrame, window: int) -> DataFrame:
