@@ -5,8 +5,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 Parquet and reads it again. SQL cannot express the models and the tokenizer, so ORACLE_SQL is None; tests compare the
 stages with brute force.
 
-Null and empty texts are rejected by the first stage. Extra columns are carried along until the last stage. Rows with one
-doc_id in one class of near duplicates are repeats, of which the second stage keeps one. Empty tables give empty results.
+Null and empty texts are rejected by the first stage. Extra columns are carried along until the last stage. Rows with
+one doc_id and one text are repeats, of which the second stage keeps one; unlike texts with one doc_id, or with a null one,
+are documents of their own. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radialspark.llm import decontaminate, langid, neardup, packing, suffix
-from radialspark.llm.common import materialize, table
+from radialspark.llm.common import materialize, table, text_key
 
 #: Texts that no learned language codes in fewer bits a byte are rejected along with those without a letter.
 MOST_BITS = 7.0
@@ -29,14 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each class the document with the least doc_id stays."""
-    least = F.lit(-(1 << 63))
-    heads = neardup.near_duplicates(docs).filter(F.coalesce("doc_id", least) == F.col("class_id")).select(F.col("doc_id").alias("__id"))
-    heads = materialize(heads)
-    kept = docs.join(heads.distinct(), docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    if heads.count() > heads.distinct().count():  # a doc_id that repeats: one of its rows stays
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """MinHash near-dedup: of each class the document with the least doc_id stays (of several, one with the head's text)."""
+    heads = neardup.text_classes(docs).filter("k1 = h1 AND k2 = h2")
+    heads = materialize(heads.select(F.col("class_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")))
+    k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
+    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    names = ["__id", "__k1", "__k2"]
+    # Rows of one doc_id and one text are repeats; they go before rows are dealt by these keys, so that none is hot.
+    keyed = docs.select("*", low.alias("__id"), k1.alias("__k1"), k2.alias("__k2")).dropDuplicates(names)
+    return keyed.join(heads, names, "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

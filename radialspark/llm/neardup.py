@@ -314,14 +314,25 @@ def shared_bits(store: DataFrame, tids: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (the least doc_id of its class), copies (rows with the same text)."""
+def text_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """docs(doc_id, text) -> k1, k2, class_id, h1, h2, copies: a row per distinct text, and the key of its class's head.
+
+    The head is the text with the least (first_id, k1, k2) of its class. No two classes have one head, whereas they share
+    a class_id where their least doc_ids are null or repeat.
+    """
     store = text_store(docs, False)
     label = near_classes(store, least)
     named = store.select("tid", "k1", "k2", "first_id", "copies").join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
-    least_id = materialize(named.groupBy("c").agg(F.min("first_id").alias("class_id")))
-    classes = materialize(named.join(least_id, "c").select("k1", "k2", "class_id", "copies"))
+    heads = materialize(named.groupBy("c").agg(F.min(F.struct("first_id", "k1", "k2")).alias("h")))
+    heads = heads.select("c", F.col("h.first_id").alias("class_id"), F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"))
+    classes = materialize(named.join(heads, "c").select("k1", "k2", "class_id", "h1", "h2", "copies"))
     drop_scratch(store)
+    return classes
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, class_id (the least doc_id of its class), copies (rows with the same text)."""
+    classes = text_classes(docs, least).select("k1", "k2", "class_id", "copies")
     k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
     return keys.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "copies")

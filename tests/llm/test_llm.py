@@ -335,3 +335,16 @@ def test_near_dedup_by_growing_pivots(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ROW_PAIRS", -1)
     monkeypatch.setattr(neardup, "PIVOTS", 1)
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == want
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    """Null and repeated doc_ids: each class keeps one row, whatever ids others have; the least id's text stays."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (5, text["c"]), (5, text["d"]), (5, text["d"])]
+    rows += [(7, text["e"]), (7, text["f"]), (3, text["f"] + " z"), (9, text["g"]), (9, text["g"] + " z"), (8, text["d"])]
+    kept = corpus_pipeline.near_duplicates(spark, _docs(spark, rows), SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    ends = [(i, t) for i, t in got if i == 9]
+    assert len(ends) == 1 and ends[0][1].startswith(text["g"])
+    want = [(None, text["a"]), (None, text["b"]), (5, text["c"]), (5, text["d"]), (7, text["e"]), (3, text["f"] + " z")]
+    assert sorted(set(got) - set(ends), key=str) == sorted(want, key=str) and len(got) == 7
