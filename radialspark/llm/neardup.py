@@ -331,11 +331,16 @@ def text_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (the least doc_id of its class), copies (rows with the same text)."""
-    classes = text_classes(docs, least).select("k1", "k2", "class_id", "copies")
+    """docs(doc_id, text) -> doc_id, class_id (the least doc_id of its class), copies (rows with the same text), class_key.
+
+    class_key names the class: the key of its head's text in hexadecimal. Classes with null or repeated doc_ids can share
+    a class_id, but never a class_key.
+    """
+    key = F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in ("h1", "h2")])
+    classes = text_classes(docs, least).select("k1", "k2", "class_id", "copies", key.alias("class_key"))
     k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
-    return keys.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "copies")
+    return keys.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "copies", "class_key")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,3 +348,15 @@ def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
     assert len(ends) == 1 and ends[0][1].startswith(text["g"])
     want = [(None, text["a"]), (None, text["b"]), (5, text["c"]), (5, text["d"]), (7, text["e"]), (3, text["f"] + " z")]
     assert sorted(set(got) - set(ends), key=str) == sorted(want, key=str) and len(got) == 7
+
+
+def test_class_keys_of_repeated_ids(spark):
+    """Unlinked classes with null or repeated doc_ids share a class_id but not a class_key."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["b"]), (4, text["b"] + " z"), (5, text["c"]), (5, text["d"]), (6, text["d"] + " z")]
+    by = {}
+    for r in neardup.near_duplicates(_docs(spark, rows)).collect():
+        by.setdefault(r["class_key"], []).append((r["doc_id"], r["class_id"]))
+    low = -(1 << 63)
+    want = [[(None, low)], [(4, low), (None, low)], [(5, 5)], [(5, 5), (6, 5)]]
+    assert sorted((sorted(v, key=str) for v in by.values()), key=str) == sorted(want, key=str)
