@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Paths of the scratch tables made inside each open ``scratch_scope``.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made inside go at its end, but for the last one made."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+    for path in made[:-1]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers as SQL VALUES, which needs no Python on the executors."""
+    fields = [f.split() for f in schema.split(", ")]
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in fields) + " WHERE false")
+    listed = ", ".join("(" + ", ".join(repr(float(x)) + "D" if isinstance(x, float) else str(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {listed} AS t({', '.join(name for name, _ in fields)})")
+
+
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the data: a small file can hold many rows, so its size proves nothing."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and fixes what was computed."""
     spark = df.sparkSession
@@ -45,6 +84,8 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,9 +94,7 @@ def drop_scratch(*dfs: DataFrame) -> None:
     for df in dfs:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/scratch/" in path:
-                hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                fs = hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-                fs.delete(hadoop, True)
+                _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,7 +119,7 @@ def global_rank(df: DataFrame, by: list[str | Column], name: str = "rank") -> Da
     for part in range(max(sizes, default=-1) + 1):
         starts.append((part, total))
         total += sizes.get(part, 0)
-    offsets = spark.createDataFrame(starts, "__part int, __start long")
+    offsets = values(spark, starts, "__part int, __start long")
     local = F.col("__mono").bitwiseAND(F.lit(LOW33))
     return (
         kept.join(F.broadcast(offsets), "__part")  # one row per shuffle partition

@@ -1,6 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a variable-order context tree over bytes, learned from a bounded sample of labelled texts. A context's
+Each language has a variable-order context tree over bytes, learned from a bounded sample of labelled rows, whose texts
+are counted whole and on the executors; the driver gets the counts of strings of ORDER + 1 bytes. A context's
 node holds symbol counts; an unseen symbol costs an escape (method C: q / (n + q) for q distinct of n) and is then coded
 one order lower, with the symbols that the node already has excluded, down to a uniform order. The statistics are frozen
 after learning, so the code length of a text is exact and can be looked up: every reachable node is flattened to a row of
@@ -19,32 +20,52 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_key
 
 LETTER = regex.compile(r"\p{L}")
-#: Bounds of the learning sample: texts per language and bytes per text.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 6000
+#: Bound of the learning sample: distinct texts per language.
+SAMPLE_DOCS = 400
 #: Nodes with fewer symbols than this are left out, and their parents code in their place.
 LEAST_SEEN = 3
 ORDER = 3
 #: Bytes of text that are scored in one go.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Bits of a symbol in a gram's code; 0 stands before the text, bytes are one up.
+BITS = 9
+
+
+def gram_counts(text: bytes, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the strings of order + 1 symbols that end at each byte of a text of any length."""
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(text, np.uint8)
+    for low in range(0, len(data), CHUNK):
+        part = data[max(0, low - order) : low + CHUNK].astype(np.int64) + 1
+        part = np.concatenate([np.zeros(max(0, order - low), np.int64), part])
+        code = np.zeros(len(part) - order, np.int64)
+        for j in range(order + 1):
+            code = (code << BITS) + part[j : len(part) - order + j]
+        codes, counts = _added(codes, counts, *np.unique(code, return_counts=True))
+    return codes, counts
+
+
+def _added(codes: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
 
 class Tree:
-    """The flattened context trees of all languages over one alphabet."""
+    """The flattened context trees of all languages over one alphabet, from the gram counts of each."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER) -> None:
+    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> None:
         self.langs = sorted(samples)
         self.order = order
-        seen = np.zeros(256, np.int64)
-        for texts in samples.values():
-            for t in texts:
-                seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-        used = np.flatnonzero(seen)
+        seen = np.zeros(1 << BITS, np.int64)
+        for codes, counts in samples.values():
+            seen += np.bincount(codes & ((1 << BITS) - 1), counts, 1 << BITS).astype(np.int64)
+        used = np.flatnonzero(seen[1:257])
         #: Symbol 0 stands for each byte that no sample has (they share its probability).
         self.symbol = np.zeros(256, np.uint8)
         self.symbol[used] = np.arange(1, len(used) + 1)
@@ -57,19 +78,21 @@ class Tree:
             self.nodes.append(row_of)
             self.rows.append(cost)
 
-    def _learn(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         s, top = self.size, self.order
-        stream = np.concatenate([np.concatenate([np.zeros(top, np.int64), self.symbol[np.frombuffer(t, np.uint8)].astype(np.int64)]) for t in texts] or [np.zeros(0, np.int64)])
+        of = np.zeros(1 << BITS, np.int64)
+        of[1:257] = self.symbol
+        # Column j holds the symbol j places before the last one.
+        columns = [of[(counted[0] >> (BITS * j)) & ((1 << BITS) - 1)] for j in range(top + 1)]
         probs = np.full((1, s), 1 / 256)
         probs[0, 0] = self.rest / 256
         row_of = np.zeros(1, np.int32)  # of the context of order k, the row of its longest known suffix
         for k in range(top + 1):
-            ctx = np.zeros(max(0, len(stream) - top), np.int64)
+            ctx = np.zeros(len(counted[0]), np.int64)
             for j in range(k, 0, -1):
-                ctx = ctx * s + stream[top - j : len(stream) - j]
-            here = stream[top:]
-            real = here > 0
-            keys, counts = np.unique((ctx * s + here)[real], return_counts=True)
+                ctx = ctx * s + columns[j]
+            keys, at = np.unique(ctx * s + columns[0], return_inverse=True)
+            counts = np.bincount(at, counted[1], len(keys)).astype(np.int64)
             nodes, start = np.unique(keys // s, return_index=True)
             n = np.add.reduceat(counts, start) if len(start) else np.zeros(0, np.int64)
             q = np.diff(np.append(start, len(keys)))
@@ -118,25 +141,40 @@ class Tree:
         return out
 
 
-def sample(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE_DOCS) -> dict[str, list[bytes]]:
-    """At most per_label texts per label, picked by a hash of the whole learning set, each cut to SAMPLE_BYTES.
+def sample(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE_DOCS, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The gram counts of at most per_label distinct texts per label, those with the least hashes of the whole learning set.
 
-    docs must hold the learning rows only. What reaches the driver is bounded by the number of labels.
+    docs must hold the learning rows only. Texts are counted whole, where they are; what reaches the driver are the
+    distinct strings of order + 1 bytes in the sample of each label.
     """
     known = docs.filter(F.col(label).isNotNull() & (F.octet_length("text") > 0))
-    sizes = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    k1, k2 = text_key(F.col("text"))
+    known = known.select(F.col(label).alias("label"), k1.alias("k1"), k2.alias("k2"), "text")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("k1").alias("n")).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_label / n + 30 / n)))])
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.withColumn("u", u).filter(F.col("u") < share[F.col(label)])
-    picked = picked.select(label, "u", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("b"))
-    rows = sorted(picked.limit(3 * per_label * len(sizes)).collect(), key=lambda r: (r["u"], bytes(r["b"])))
-    out: dict[str, list[bytes]] = {}
-    for r in rows:
-        out.setdefault(r[label], [])
-        if len(out[r[label]]) < per_label:
-            out[r[label]].append(bytes(r["b"]))
+    u = F.pmod("k1", F.lit(1 << 30)) / float(1 << 30)
+    few = known.filter(u < share[F.col("label")]).dropDuplicates(["label", "k1", "k2"])
+    order_ = Window.partitionBy("label").orderBy(u, "k1", "k2")  # about 1.5 * per_label rows a label
+    picked = few.withColumn("r", F.row_number().over(order_)).filter(F.col("r") <= per_label).select("label", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for name, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                old = held.get(name, (np.zeros(0, np.int64),) * 2)
+                held[name] = _added(*old, *gram_counts(text.encode(), order))
+        for name, (codes, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["label", "gram", "n"])
+
+    counted = picked.mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    labels = np.array(counted.column("label").to_pylist(), object)
+    for name in sizes:
+        mine = labels == name
+        if mine.any():
+            out[name] = tuple(counted.column(c).to_numpy()[mine].astype(np.int64) for c in ("gram", "n"))
     return out
 
 
@@ -159,7 +197,7 @@ def chunks(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK) -> Iter
         low = high
 
 
-def predict(docs: DataFrame, samples: dict[str, list[bytes]], keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:
     """The kept columns of docs with lang_pred, score and bits_per_byte (least; null for ``und``)."""
     spark = docs.sparkSession
     tree = Tree(samples) if samples else None
