@@ -1,12 +1,13 @@
 """Canonical exact digests of documents, with DataFrame functions only.
 
 A text's canonical form is NFKC, case folded, NFKC again, with each run of white space made one space and the ends
-trimmed. Its fingerprint is a 128-bit xxhash of that form. Rows whose hashes agree are compared byte by byte; if two
-forms share a hash, every fingerprint of the run is extended by the form's SHA-256, so that equal fingerprints always
-mean equal forms.
+trimmed. Its fingerprint is a 128-bit xxhash of that form and depends on nothing else. Rows whose fingerprints agree are
+compared byte by byte: ``collides`` is true for those whose bucket holds unlike forms, so that equal fingerprints with
+``collides`` false mean equal forms.
 
 Null texts count as empty texts; empty texts have one fingerprint of their own. Repeated doc_ids and repeated rows each
-keep their row. A null doc_id sorts first. Extra columns are not passed on. An empty table gives an empty table.
+keep their row. A null doc_id sorts first. ``fingerprint_groups`` passes all columns on and replaces those named
+fingerprint or collides; ``edited_likeness`` reads doc_id and text alone. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, text_key
+from .common import global_rank, materialize, table, text_key
+
+#: Neighbouring documents that one window holds.
+BLOCK = 64
 
 
 def canonical(text: Column) -> Column:
@@ -27,94 +31,101 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.regexp_replace(nfkc(folded), r"(?U)\s+", " "))
 
 
-def digest(canon: Column, extended: bool = False) -> Column:
-    """The fingerprint of a canonical form, as lowercase hex."""
-    a, b = text_key(canon)
-    parts = [F.lpad(F.lower(F.hex(x)), 16, "0") for x in (a, b)]
-    return F.concat(*parts, *([F.sha2(canon, 256)] if extended else []))
+def digest(canon: Column) -> Column:
+    """The fingerprint of a canonical form, as lowercase hex; the form is made once."""
+
+    def hexed(c: Column) -> Column:
+        return F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in text_key(c)])
+
+    return F.get(F.transform(F.array(canon), hexed), F.lit(0))
+
 
+def _form(text: Column) -> Column:
+    """The canonical form and its fingerprint, as a struct."""
+    return F.get(F.transform(F.array(canonical(text)), lambda c: F.struct(digest(c).alias("fingerprint"), c.alias("canon"))), F.lit(0))
 
-def collides(docs: DataFrame) -> bool:
-    """Whether two different canonical forms in docs(canon) share a 128-bit hash: bytes are compared inside buckets.
+
+def colliding(forms: DataFrame) -> DataFrame:
+    """The fingerprints in forms(fingerprint, canon) that unlike forms share: bytes are compared inside each bucket.
 
     Grouping sends one smallest and one largest form per bucket and task, so copies meet before the shuffle.
     """
-    a, b = text_key(F.col("canon"))
-    buckets = docs.select(a.alias("a"), b.alias("b"), "canon").groupBy("a", "b")
-    odd = buckets.agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter("low <> high")
-    return not materialize(odd.select("a", "b")).isEmpty()
+    buckets = forms.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
+    return materialize(buckets.filter("low <> high").select("fingerprint"))
 
 
-def fingerprint_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """General use: docs with ``fingerprint``; rows with equal canonical forms, and only those, share one."""
-    canon = docs.withColumn("canon", canonical(F.coalesce(F.col(text), F.lit(""))))
-    return canon.withColumn("fingerprint", digest(F.col("canon"), collides(canon.select("canon")))).drop("canon")
+def _flag(df: DataFrame, odd: DataFrame, columns: list[str]) -> DataFrame:
+    """df with ``collides``: whether one of its fingerprint columns is in odd."""
+    if odd.isEmpty():
+        return df.withColumn("collides", F.lit(False))
+    out = df.drop("collides")
+    for i, c in enumerate(columns):
+        out = out.join(odd.select(F.col("fingerprint").alias(c), F.lit(True).alias(f"__odd{i}")), c, "left")
+    found = F.coalesce(*[F.col(f"__odd{i}") for i in range(len(columns))], F.lit(False))
+    return out.withColumn("collides", found).drop(*[f"__odd{i}" for i in range(len(columns))])
 
 
-def _bucket_of(id_: Column, bounds: list[int], width: int) -> Column:
-    """How many of the sorted bounds are at most id_, found through a coarse and a fine step."""
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    if not rows:
-        return F.lit(0).cast("long")
-    count = lambda xs: F.size(F.filter(xs, lambda x: x <= id_))
-    heads = F.array(*[F.lit(r[0]).cast("long") for r in rows])
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
-    coarse = count(heads)
-    found = F.when(coarse == 0, 0).otherwise((coarse - 1) * width + count(F.get(fine, coarse - 1)))
-    return F.coalesce(found, F.lit(0)).cast("long")
+def fingerprint_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """General use: docs with ``fingerprint`` and ``collides``; rows with equal canonical forms share a fingerprint."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    odd = colliding(docs.select(_form(whole).alias("f")).select("f.fingerprint", "f.canon"))
+    return _flag(docs.withColumn("fingerprint", digest(canonical(whole))), odd, ["fingerprint"])
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with next_text, the text of the next row by (doc_id, text hash); the last gets the first.
+def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs(doc_id, text, ...) with next_<c> for each of the columns: the values of the next row by (doc_id, text key).
 
-    Rows go to id ranges whose bounds are quantiles (a bounded list), each range is one window, and the first row of
-    each range is handed to the range before it. The text is shuffled once.
+    The last row gets the first one's. Rows are ranked over range partitions and dealt in blocks of BLOCK ranks; each
+    block's first row goes to the block before it, too. No window holds more than a block, whatever the size of docs.
     """
-    spark = docs.sparkSession
-    n = min(16384, max(64, 4 * partitions(spark)))
-    width = max(1, int(n**0.5))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0]
-    placed = docs.withColumn("__t", F.xxhash64("text")).withColumn("__b", _bucket_of(F.col("doc_id"), sorted(set(cuts or [])), width))
-    order = Window.partitionBy("__b").orderBy(F.asc_nulls_first("doc_id"), "__t", "text")
-    heads = placed.groupBy("__b").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "__t", "text")).alias("h"))
-    heads = materialize(heads.select("__b", F.col("h.text").alias("first_text")))  # one row per range
-    ring = Window.orderBy("__b")
-    first = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("__b", F.coalesce(F.lead("first_text").over(ring), F.first("first_text").over(first)).alias("__after"))
-    led = placed.withColumn("__lead", F.lead("text").over(order)).withColumn("__last", F.lead(F.lit(1)).over(order).isNull())
-    last = led.join(after.withColumn("__last", F.lit(True)), ["__b", "__last"], "left")
-    return last.withColumn("next_text", F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__lead"))).drop("__b", "__t", "__lead", "__last", "__after")
+    k1, k2 = text_key(F.col("text"))
+    ranked = global_rank(docs.withColumn("__k1", k1).withColumn("__k2", k2), [F.asc_nulls_first("doc_id"), "__k1", "__k2"], "__r")
+    n = ranked.count()
+    own = F.struct(F.expr(f"__r div {BLOCK}").alias("block"), F.col("__r").alias("r"), F.lit(True).alias("own"))
+    before = F.struct(
+        F.when(F.col("__r") == 0, F.lit((max(n, 1) - 1) // BLOCK).cast("long")).otherwise(F.expr(f"__r div {BLOCK} - 1")).alias("block"),
+        F.when(F.col("__r") == 0, F.lit(n).cast("long")).otherwise(F.col("__r")).alias("r"),
+        F.lit(False).alias("own"),
+    )
+    place = F.when(F.col("__r") % BLOCK == 0, F.array(own, before)).otherwise(F.array(own))
+    dealt = ranked.withColumn("__at", F.explode(place)).select(*docs.columns, *[F.col(f"__at.{c}").alias(f"__{c}") for c in ("block", "r", "own")])
+    order = Window.partitionBy("__block").orderBy("__r")
+    for c in columns:
+        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
+    return dealt.filter("__own").drop("__block", "__r", "__own")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs(doc_id, text), of each text with its last quarter replaced, and how alike they are.
 
-    An exact digest knows only equal and different, so both likenesses are 1.0 or 0.0.
+    An exact digest knows only equal and different, so both likenesses are 1.0 or 0.0; bytes decide, not digests.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    more = collides(base.select(canonical(F.col("text")).alias("canon")))
-    near = with_next(base)
+    near = with_next(base.withColumn("fingerprint", digest(canonical(F.col("text")))), ["text", "fingerprint"])
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.expr("left(text, char_length(text) - cut)"), F.expr("left(next_text, cut)"))
-    near = near.withColumn("cut", cut).withColumn("edited", edited)
-    near = near.withColumn("fingerprint", digest(canonical(F.col("text")), more))
-    near = near.withColumn("edited_fingerprint", digest(canonical(F.col("edited")), more))
-    near = near.withColumn("next_fingerprint", digest(canonical(F.col("next_text")), more))
+    near = near.withColumn("cut", cut).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cut)"), F.expr("left(next_text, cut)")))
+    near = near.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
 
     def same(other: str, print_: str) -> Column:
-        alike = (F.col("fingerprint") == F.col(print_)) & (canonical(F.col("text")) == canonical(F.col(other)))
+        alike = F.when(F.col("fingerprint") == F.col(print_), canonical(F.col("text")) == canonical(F.col(other)))
         return F.when(alike, 1.0).otherwise(0.0)
 
-    return near.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        same("edited", "edited_fingerprint").alias("near_edited"),
-        same("next_text", "next_fingerprint").alias("near_next"),
+    rows = materialize(
+        near.select(
+            "doc_id",
+            n.cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+            "fingerprint",
+            "edited_fingerprint",
+            same("edited", "edited_fingerprint").alias("near_edited"),
+            same("next_text", "next_fingerprint").alias("near_next"),
+            "edited",
+        )
     )
+    forms = base.select(_form(F.col("text")).alias("f")).unionByName(rows.select(_form(F.col("edited")).alias("f")))
+    odd = colliding(forms.select("f.fingerprint", "f.canon"))
+    return _flag(rows.drop("edited"), odd, ["fingerprint", "edited_fingerprint"])
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
