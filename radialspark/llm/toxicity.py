@@ -1,13 +1,14 @@
 """A toxicity classifier with counterfactual regularisation.
 
-A sparse logistic model over the words of a text (present or not) is fitted to a bounded sample of labelled rows. Each
-sample text that names a group is copied with the name swapped for others, and the squared difference of the two logits
+A sparse logistic model over the words of a text (present or not) is fitted to a bounded sample of labelled rows, whose
+texts are reduced to their distinct words on the executors, whole and whatever their length. Each sample text that names
+a group is copied with the name swapped for others, and the squared difference of the two logits
 is added to the loss, so that a group's name alone cannot move a score. Weights are kept sparse by an L1 penalty, so that
 the many harmless words of a long text don't add up.
 
 Null texts and empty texts get the score of the bias alone. With no labelled rows every score is 0.0. Repeated rows each
 get the same score; rows with a null doc_id are scored. A doc_id with several labels is toxic if one of them says so.
-Extra columns are not read.
+Of several documents with a sampled doc_id, the one with the least text is learned from. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,20 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_scratch, materialize, table
 from .langid import _binary, chunks, held_out
 from .textbytes import PUNCT, Words
 
-#: Bounds of the labelled sample: rows per class and bytes per text (longer ones are left out of it).
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12_000
-#: Names of groups that are swapped for each other.
+#: Bound of the labelled sample: rows per class.
+SAMPLE_ROWS = 2000
+#: Names of groups that are swapped for each other, in the languages of the corpus.
 IDENTITY = tuple(
     "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu "
     "immigrants refugees foreigners gays lesbians gay lesbian straight bisexual transgender trans queer black white asian "
-    "latino african european american mexican chinese indian arab deaf blind disabled elderly young old poor rich".split()
+    "latino african european american mexican chinese indian arab deaf blind disabled elderly young old poor rich "
+    "frauen männer frau mann juden muslime christen ausländer flüchtlinge einwanderer schwule lesben schwarze weiße behinderte "
+    "femmes hommes femme homme juifs musulmans chrétiens étrangers réfugiés immigrés noirs blancs arabes handicapés "
+    "mujeres hombres mujer hombre judíos musulmanes cristianos extranjeros refugiados inmigrantes negros blancos árabes gitanos".split()
 )
 #: A word takes part from so many sample texts on, and if its split over the classes is no chance (log-likelihood ratio).
 LEAST_TEXTS, LEAST_RATIO = 3, 14.0
@@ -61,9 +65,16 @@ def _ratio(toxic: np.ndarray, seen: np.ndarray, labels: np.ndarray) -> np.ndarra
     return 2 * (term(toxic, share) + term(seen - toxic, 1 - share))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 500, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word hashes with a weight, their weights, and the bias, at the base rate ``prior``."""
-    row, word = word_hashes(pa.array(texts, pa.string()))
+def fit(texts: list[str], labels: np.ndarray, prior: float, **how) -> tuple[np.ndarray, np.ndarray, float]:
+    """``fit_words`` over texts at hand."""
+    return fit_words(*word_hashes(pa.array(texts, pa.string())), labels, prior, **how)
+
+
+def fit_words(row: np.ndarray, word: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 500, seed: int = 7, swap: float = SWAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted word hashes with a weight, their weights, and the bias, at the base rate ``prior``.
+
+    (row, word): the distinct words of each labelled row, rows ascending; swap: weight of the penalty on swapped names.
+    """
     vocab, col, seen = np.unique(word, return_inverse=True, return_counts=True)
     names = _hash_of(IDENTITY)
     keep = (seen >= LEAST_TEXTS) & (_ratio(np.bincount(col, labels[row], len(vocab)), seen, labels) >= LEAST_RATIO) | np.isin(vocab, names)
@@ -84,7 +95,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 500, s
                     swaps.append((pair, int(other), -1))
                 pair += 1
     sp, sc, sv = (np.array([s[k] for s in swaps], np.int64) for k in range(3)) if swaps else (np.zeros(0, np.int64),) * 3
-    n, m = len(texts), len(vocab)
+    n, m = len(labels), len(vocab)
     y = labels.astype(float)
     share = y.mean() if n else 0.5
     weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / max(n, 1)  # both classes count alike
@@ -94,14 +105,14 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 500, s
     # A step for each word by its share of the curvature keeps frequent words from slowing down the rare ones.
     curve = np.bincount(col, (weight * 0.25 * np.maximum(1, np.sqrt(size)))[row], m) + L2 + 1e-4
     if pair:
-        curve += np.bincount(sc, minlength=m) * 4 * SWAP / pair
+        curve += np.bincount(sc, minlength=m) * 4 * swap / pair
     for _ in range(rounds):
         z = np.bincount(row, v[col], n) + vb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         grad = np.bincount(col, g[row], m) + L2 * v
         if pair:
             gap = np.bincount(sp, sv * v[sc], pair)
-            grad += 2 * SWAP / pair * np.bincount(sc, sv * gap[sp], m)
+            grad += 2 * swap / pair * np.bincount(sc, sv * gap[sp], m)
         step = v - 0.5 * grad / curve
         new = np.sign(step) * np.maximum(np.abs(step) - 0.5 * L1 / curve, 0)
         nb = vb - 1.0 * g.sum()
@@ -116,19 +127,41 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 500, s
     return vocab[some], w[some], float(b + np.log(prior / (1 - prior)) * 0.25)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of a hash sample of the learning rows, and the share of toxic ones among all of them."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What ``fit_words`` takes, from the per_class learning rows of each class whose doc_ids have the least hashes.
+
+    Words of fewer than LEAST_TEXTS of the sample's texts stay behind, unless they name a group.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    none = np.zeros(0, np.int64)
     if not sizes:
-        return [], np.zeros(0), 0.5
+        return none, none.astype(np.uint64), none, 0.5
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes.get(1, 1))).otherwise(min(1.0, per_class / sizes.get(0, 1)))
-    picked = known.filter(u < share).select("doc_id", "toxic").limit(3 * per_class)  # a bounded number of rows
-    rows = docs.join(F.broadcast(picked), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted(rows.select("doc_id", "text", "toxic").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows]), sizes.get(1, 0) / sum(sizes.values())
+    share = {k: min(1.0, 1.5 * per_class / n + 30 / n) for k, n in sizes.items()}
+    some = known.filter(u < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    first = Window.partitionBy("toxic").orderBy(u, "doc_id")  # about 1.5 * per_class rows a class
+    picked = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_class).select("doc_id", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * per_class rows at most
+    texts = materialize(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, most=CHUNK):
+                row, word = word_hashes(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(word.view(np.int64))], ["doc_id", "word"])
+
+    pairs = materialize(texts.mapInArrow(reduce, texts.select("doc_id").schema.add("word", "long")))
+    names = [int(h) for h in _hash_of(IDENTITY).view(np.int64)]
+    kept = pairs.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= LEAST_TEXTS) | F.col("word").isin(names))
+    found = pairs.join(kept.select("word"), "word").toArrow()
+    rows = sorted((r["doc_id"], r["toxic"]) for r in texts.select("doc_id", "toxic").collect())
+    row = np.searchsorted(np.array([r[0] for r in rows]), found.column("doc_id").to_numpy())
+    word = found.column("word").to_numpy().view(np.uint64)
+    order = np.lexsort((word, row))
+    drop_scratch(texts, pairs)
+    return row[order].astype(np.int64), word[order], np.array([r[1] for r in rows], np.int64), sizes.get(1, 0) / sum(sizes.values())
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -> DataFrame:
@@ -160,6 +193,6 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None)
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts, labels, prior = sample(docs, table(spark, sf_dir, "labels"))
-    out = predict(docs, fit(texts, labels, prior) if texts else None)
+    found = sample(docs, table(spark, sf_dir, "labels"))
+    out = predict(docs, fit_words(*found) if len(found[2]) else None)
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
