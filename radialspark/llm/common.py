@@ -54,6 +54,8 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if (name := path.rsplit("/", 1)[-1]).startswith("scratch_"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -89,6 +91,34 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, folder: str | None = None) -> DataFrame:
+    """Write df as a table of as many buckets as there are shuffle partitions, each sorted by ``by``, and read it back.
+
+    Joins and groupings by that column need no exchange of such a table. Without a folder it is a scratch table.
+    """
+    spark = df.sparkSession
+    name = f"scratch_{uuid.uuid4().hex}"
+    made = f"{folder or shared_dir(spark) + '/scratch'}/{name}"
+    n = partitions(spark)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", made).option("compression", "zstd").saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    if _SCOPES and not folder:
+        _SCOPES[-1].append(made)
+    return spark.table(name)
+
+
+def reopened(spark: SparkSession, path: str, schema: str, by: str, n: int) -> DataFrame:
+    """A table that ``bucketed`` wrote, perhaps in another session."""
+    name = path.rsplit("/", 1)[-1]
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def drop_scratch(*dfs: DataFrame) -> None:
     """Delete the files of scratch tables that nothing reads any more."""
     for df in dfs:

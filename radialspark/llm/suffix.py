@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, partitions, table, text_key
+from .common import drop_scratch, materialize, merge_join, partitions, table, text_key
 from .induced import equal_windows
 from .langid import chunks
-from .repeats import CHUNK, Units, covered, settle, spans, text_store, with_lists
+from .repeats import CHUNK, Units, covered, settle, settle_windows, several, spans, text_store, with_lists
 
 WINDOW, GRAM = 100, 32
-#: Bytes that are sorted together, unless one fingerprint has more.
-SHARD = 1 << 20
+#: Bytes that are sorted together, unless one fingerprint has more; a fingerprint of more than HOT is split.
+SHARD, HOT = 1 << 20, 1 << 26
 
 
 def segments(store: DataFrame, look: DataFrame, window: int) -> DataFrame:
@@ -101,13 +101,26 @@ def repeated_byte_ranges(store: DataFrame, window: int = WINDOW, gram: int = GRA
     """tid, low, high: byte ranges of windows that also start earlier; store's tids ascend with the documents."""
     found = materialize(spans(store, window, gram, False))
     hot = materialize(found.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp"))
-    done, look = settle(found, hot, True)
+    again = materialize(merge_join(found, hot, "fp"))
     drop_scratch(found, hot)
-    pieces = segments(store, look, window).repartition(partitions(store.sparkSession), "fp")
-    windows = later_windows(pieces, window).select("tid", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
-    whole = done.select("tid", F.col("at").alias("low"), (F.col("at") + F.col("n") + window - 1).alias("high"))
+    rows, pairs = settle([store], again, window, False)
+    drop_scratch(again)
+    look = several(rows).select("fp", "tid", "at", "n")
+    # A fingerprint of too many bytes for one task goes window by window, which no key holds together.
+    large = materialize(look.groupBy("fp").agg(F.sum(F.col("n") + window).alias("size")).filter(F.col("size") > HOT).select("fp"))
+    rest, split = look, None
+    if large.count():
+        many = merge_join(look, large, "fp", "left_semi").select("tid", "at", "n", F.lit(True).alias("single"))
+        split = settle_windows([store], many, window, False).filter("tid <> rt OR at <> ra").select("tid", F.col("at").alias("start"))
+        rest = merge_join(look, large, "fp", "left_anti")
+    pieces = segments(store, rest, window).repartition(partitions(store.sparkSession), "fp")
+    windows = later_windows(pieces, window)
+    if split is not None:
+        windows = windows.unionByName(split)
+    windows = windows.select("tid", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
+    whole = pairs.select("tid", F.col("at").alias("low"), (F.col("at") + F.col("n") + window - 1).alias("high"))
     out = materialize(whole.unionByName(windows))
-    drop_scratch(done, look)
+    drop_scratch(rows, pairs, large)
     return out
 
 

@@ -1,11 +1,14 @@
 """Vectorised word and window hashes over whole batches of UTF-8 texts.
 
-A polynomial hash modulo 2**64 with an odd base gives the hash of any byte range from two prefix sums, as odd bases have
-inverses; ranges are moved to a common power and mixed. Two bases give 128 bits.
+Words are hashed by mixing eight bytes at a time (long ones by BLAKE2b). A polynomial hash modulo 2**64 with an odd base
+gives the hash of any range of words or bytes from two prefix sums, as odd bases have inverses; ranges are moved to a
+common power and mixed. Range hashes only choose what is compared: texts can be made whose ranges agree for every base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -58,6 +61,32 @@ def ranges(sums: np.ndarray, low: np.ndarray, high: np.ndarray, base: np.uint64)
         return mix(h + (high - low).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Bytes up to which a word is hashed by mixing.
+SHORT = 64
+
+
+def hash_words(data: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges."""
+    size = high - low
+    # Eight bytes from every place on, unaligned.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + BASES[seed])
+        todo = np.flatnonzero((size > 0) & (size <= SHORT))
+        at = 0
+        while len(todo):
+            left = np.minimum(size[todo] - at, 8).astype(U64)
+            block = eight[low[todo] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - left * U64(8)))
+            out[todo] = mix((out[todo] ^ block) * BASES[1 - seed] + U64(at + 1))
+            at += 8
+            todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[low[i] : high[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 class Words:
     """The words of texts that lie one after another in data; ends: where each text ends.
 
@@ -67,6 +96,7 @@ class Words:
     def __init__(self, data: np.ndarray, ends: np.ndarray, separators: np.ndarray = SPACES, fold: bool = False, bases: int = 1) -> None:
         if fold:
             data = LOWER[data]
+        self.data = data
         word = ~separators[data]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
         before = np.zeros(len(data), bool)
@@ -78,41 +108,17 @@ class Words:
         self.low = np.flatnonzero(word & ~before)
         self.high = np.flatnonzero(word & ~after) + 1
         self.first = np.concatenate([np.searchsorted(self.low, starts), [len(self.low)]]).astype(np.int64)
-        self.hash = [ranges(prefix(data.astype(np.uint16) + 1, b), self.low, self.high, b) for b in BASES[:bases]]
+        self.hash = [hash_words(data, self.low, self.high, k) for k in range(bases)]
 
     def text_of(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def windows(self, n: int) -> np.ndarray:
-        """The words at which windows of n words of one text start."""
-        count = np.maximum(np.diff(self.first) - n + 1, 0)
-        total = int(count.sum())
-        skip = np.concatenate([[0], np.cumsum(count)])[:-1]
-        return np.arange(total) - np.repeat(skip, count) + np.repeat(self.first[:-1], count)
-
-    def window_hash(self, at: np.ndarray, n: int, base: int = 0) -> np.ndarray:
-        """Hashes of the windows of n words that start at the given words."""
-        b = BASES[base]
-        return ranges(prefix(self.hash[base], b), at, at + n, b)
-
-
-def minimizers(values: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
-    """Sorted places that hold the least value (leftmost) of some ``span`` neighbouring values of one group.
-
-    Group g has the values first[g] to first[g + 1]; groups of fewer than span values have none.
-    """
-    n = len(values)
-    if n < span:
-        return np.zeros(0, np.int64)
-    # The minimum over span values by doubling; an index breaks ties towards the left.
-    low = (values & U64(0xFFFFFFFF00000000)) | np.arange(n, dtype=U64)
-    have = 1
-    while have < span:
-        step = min(have, span - have)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        have += step
-    count = np.maximum(np.diff(first) - span + 1, 0)
-    skip = np.concatenate([[0], np.cumsum(count)])[:-1]
-    at = np.arange(int(count.sum())) - np.repeat(skip, count) + np.repeat(first[:-1], count)
-    return np.unique((low[at] & U64(0xFFFFFFFF)).astype(np.int64))
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words with a space after each, and where each word starts (and the end)."""
+        size = self.high - self.low + 1
+        begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        at = np.arange(int(begin[-1])) + np.repeat(self.low - begin[:-1], size)
+        out = np.append(self.data, np.uint8(32))[at]
+        out[begin[1:] - 1] = 32
+        return out.tobytes(), begin
