@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radialspark.llm import decontaminate, langid, neardup, packing, suffix
-from radialspark.llm.common import materialize, table, text_key
+from radialspark.llm.common import drop_scratch, materialize, merge_join, scratch_scope, table, text_key
 
 #: Texts that no learned language codes in fewer bits a byte are rejected along with those without a letter.
 MOST_BITS = 7.0
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names = ["__id", "__k1", "__k2"]
     # Rows of one doc_id and one text are repeats; they go before rows are dealt by these keys, so that none is hot.
     keyed = docs.select("*", low.alias("__id"), k1.alias("__k1"), k2.alias("__k2")).dropDuplicates(names)
-    return keyed.join(heads, names, "left_semi").select(*docs.columns)
+    return merge_join(keyed, heads, names, "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch_scope(spark):  # what a stage has written for itself goes with it
+            docs = materialize(stage(spark, docs, sf_dir))
+        drop_scratch(before)
     return docs

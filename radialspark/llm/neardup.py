@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, table, text_key
+from .common import bucketed, drop_scratch, materialize, merge_join, table, text_key
 from .langid import _binary, chunks
 from .repeats import text_store
 from .textbytes import BASES, PUNCT, U64, Words, mix, prefix, ranges
@@ -132,8 +132,8 @@ def hopeful(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> Da
                 good = pa.array((a == b).sum(axis=1) >= k * least - SIGMAS * np.sqrt(k * least * (1 - least)))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
 
-    left = pairs.join(sketches.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), "a")
-    both = left.join(sketches.select(F.col("tid").alias("b"), F.col("sketch").alias("sb")), "b")
+    left = merge_join(pairs, sketches.select(F.col("tid").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = merge_join(left, sketches.select(F.col("tid").alias("b"), F.col("sketch").alias("sb")), "b")
     return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"))
 
 
@@ -167,8 +167,8 @@ def linked(pairs: DataFrame, store: DataFrame, least: float = SIMILAR) -> DataFr
                 good = jaccard(batch.column("ta"), batch.column("tb")) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
-    left = pairs.join(store.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(store.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
+    left = merge_join(pairs, store.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
+    both = merge_join(left, store.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
     return materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
 
 
@@ -177,10 +177,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     label = materialize(edges.groupBy(F.col("x").alias("tid")).agg(F.least(F.min("y"), F.first("x")).alias("c")))
     while True:
-        near = edges.join(label.withColumnRenamed("tid", "y"), "y").groupBy(F.col("x").alias("tid")).agg(F.min("c").alias("m"))
-        step = materialize(label.join(near, "tid").select("tid", "c", F.least("c", "m").alias("m")))
+        near = merge_join(edges, label.withColumnRenamed("tid", "y"), "y").groupBy(F.col("x").alias("tid")).agg(F.min("c").alias("m"))
+        step = materialize(merge_join(label, near, "tid").select("tid", "c", F.least("c", "m").alias("m")))
         up = step.select(F.col("tid").alias("m"), F.col("m").alias("mm"))
-        after = materialize(step.join(up, "m", "left").select("tid", F.col("c").alias("old"), F.least(F.col("m"), F.coalesce("mm", "m")).alias("c")))
+        after = materialize(merge_join(step, up, "m", "left").select("tid", F.col("c").alias("old"), F.least(F.col("m"), F.coalesce("mm", "m")).alias("c")))
         drop_scratch(step, label)
         label = after.select("tid", "c")
         if after.filter("old <> c").isEmpty():
@@ -194,25 +194,26 @@ def near_classes(store: DataFrame, least: float = SIMILAR) -> DataFrame:
     sketches = signed.select("tid", "sketch")
     rows = signed.select(F.explode("buckets").alias("bucket"), "tid")
     shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    left = materialize(rows.join(shared, "bucket"))
+    left = materialize(merge_join(rows, shared, "bucket"))
     # A bucket's first pivot is the text that meets most others over all bands: the original, if a bucket holds copies of it.
     met_by = materialize(left.groupBy("tid").agg(F.sum(F.col("n") - 1).alias("met")))
-    left = materialize(left.join(met_by, "tid").select("bucket", "tid", F.struct((-F.col("met")).alias("m"), F.xxhash64("tid").alias("h"), "tid").alias("p")))
+    left = materialize(merge_join(left, met_by, "tid").select("bucket", "tid", F.struct((-F.col("met")).alias("m"), F.xxhash64("tid").alias("h"), "tid").alias("p")))
     first = materialize(left.groupBy("bucket").agg(F.min("p").alias("f")).select("bucket", F.col("f.tid").alias("pivot")))
-    left = materialize(left.join(first, "bucket").filter("tid <> pivot"))
+    left = materialize(merge_join(left, first, "bucket").filter("tid <> pivot"))
     checked = materialize(left.select(F.least("tid", "pivot").alias("a"), F.greatest("tid", "pivot").alias("b")).distinct())
     # Only texts with a candidate are moved again, once for all rounds.
-    store = materialize(store.select("tid", "text").join(met_by.select("tid"), "tid", "left_semi"))
+    store = bucketed(merge_join(store.select("tid", "text"), met_by.select("tid"), "tid", "left_semi"), "tid")
     drop_scratch(shared, first, met_by)
     links = linked(hopeful(checked, sketches, least), store, least)
     label = components(links)
     drop_scratch(checked, links)
-    rest = left.select("bucket", "tid").join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
-    several = rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    rest = materialize(rest.join(several, "bucket"))
-    if rest.isEmpty():
+    rest = materialize(merge_join(left.select("bucket", "tid"), label, "tid", "left").withColumn("c", F.coalesce("c", "tid")))
+    # Aggregates are written before they are joined: then both sides of the join are shuffled, and a large bucket is split.
+    several = materialize(rest.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket"))
+    rest = materialize(merge_join(rest, several, "bucket"))
+    if not rest.count():
         return label
-    rest = materialize(rest.join(shared_bits(store, rest.select("tid").distinct()), "tid"))
+    rest = materialize(merge_join(rest, shared_bits(store, rest.select("tid").distinct()), "tid"))
     some = PIVOTS
     while True:
         rest = _open(rest, least)
@@ -226,12 +227,12 @@ def near_classes(store: DataFrame, least: float = SIMILAR) -> DataFrame:
         near = materialize(met.distinct())
         found = linked(near.select("a", "b"), store, least)
         if not found.isEmpty():
-            joined = near.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            joined = merge_join(near, found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             merged = components(joined)
             renamed = merged.select(F.col("tid").alias("c"), F.col("c").alias("to"))
-            alone = merged.join(label, "tid", "left_anti").select("tid", F.col("tid").alias("c"))
-            label = materialize(label.unionByName(alone).join(renamed, "c", "left").select("tid", F.coalesce("to", "c").alias("c")))
-            rest = rest.join(renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+            alone = merge_join(merged, label, "tid", "left_anti").select("tid", F.col("tid").alias("c"))
+            label = materialize(merge_join(label.unionByName(alone), renamed, "c", "left").select("tid", F.coalesce("to", "c").alias("c")))
+            rest = merge_join(rest, renamed, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
         if last:
             return label
         rest = rest.filter(~F.col("pivot") | ~_chosen(some))
@@ -245,12 +246,12 @@ def _open(rows: DataFrame, least: float) -> DataFrame:
     largest class of its bucket, so that comparing all such rows with the bucket leaves no two classes uncompared.
     """
     rows = rows.drop("size", "minor", "pivot")
-    lightest = rows.groupBy("bucket").agg(F.min("w").alias("wm"))
-    rows = rows.join(lightest, "bucket").filter(F.col("s") >= _need(least) * (F.col("w") + F.col("wm")) - 1e-6).drop("wm")
+    lightest = materialize(rows.groupBy("bucket").agg(F.min("w").alias("wm")))
+    rows = materialize(merge_join(rows, lightest, "bucket")).filter(F.col("s") >= _need(least) * (F.col("w") + F.col("wm")) - 1e-6).drop("wm")
     classes = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     buckets = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("classes"))
-    buckets = buckets.filter("classes > 1").select("bucket", "size", (F.col("size") - F.col("top.n")).alias("minor"), F.col("top.c").alias("main"))
-    return materialize(rows.join(buckets, "bucket").withColumn("pivot", F.col("c") != F.col("main")).drop("main"))
+    buckets = materialize(buckets.filter("classes > 1").select("bucket", "size", (F.col("size") - F.col("top.n")).alias("minor"), F.col("top.c").alias("main")))
+    return materialize(merge_join(rows, buckets, "bucket").withColumn("pivot", F.col("c") != F.col("main")).drop("main"))
 
 
 def _need(least: float) -> float:
@@ -302,11 +303,11 @@ def shared_bits(store: DataFrame, tids: DataFrame) -> DataFrame:
                 tids_ = batch.column("tid").to_numpy(zero_copy_only=False)[text[begin]]
                 yield pa.RecordBatch.from_arrays([pa.array(tids_), pa.array(shingle[begin].view(np.int64)), pa.array(n.astype(np.int64))], ["tid", "h", "n"])
 
-    rows = materialize(store.select("tid", "text").join(tids, "tid", "left_semi").mapInArrow(count, "tid long, h long, n long"))
+    rows = materialize(merge_join(store.select("tid", "text"), tids, "tid", "left_semi").mapInArrow(count, "tid long, h long, n long"))
     shared = materialize(rows.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1").select("h", F.lit(True).alias("also")))
     word = F.when(F.col("also"), F.pmod(F.shiftright("h", 6), F.lit(WORDS)))
     bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
-    both = rows.join(shared, "h", "left").select("tid", "n", "also", word.alias("word"), bit.alias("bit"))
+    both = merge_join(rows, shared, "h", "left").select("tid", "n", "also", word.alias("word"), bit.alias("bit"))
     masks = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0)).cast("long").alias(f"m{i}") for i in range(WORDS)]
     out = both.groupBy("tid").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("also"), F.col("n")).otherwise(0)).alias("s"), *masks)
     out = materialize(out.withColumn("over", F.col("s") - sum((F.bit_count(f"m{i}") for i in range(1, WORDS)), F.bit_count("m0"))))
@@ -322,10 +323,10 @@ def text_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """
     store = text_store(docs, False)
     label = near_classes(store, least)
-    named = store.select("tid", "k1", "k2", "first_id", "copies").join(label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
+    named = merge_join(store.select("tid", "k1", "k2", "first_id", "copies"), label, "tid", "left").withColumn("c", F.coalesce("c", "tid"))
     heads = materialize(named.groupBy("c").agg(F.min(F.struct("first_id", "k1", "k2")).alias("h")))
     heads = heads.select("c", F.col("h.first_id").alias("class_id"), F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"))
-    classes = materialize(named.join(heads, "c").select("k1", "k2", "class_id", "h1", "h2", "copies"))
+    classes = materialize(merge_join(named, heads, "c").select("k1", "k2", "class_id", "h1", "h2", "copies"))
     drop_scratch(store)
     return classes
 
@@ -340,7 +341,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     classes = text_classes(docs, least).select("k1", "k2", "class_id", "copies", key.alias("class_key"))
     k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
-    return keys.join(classes, ["k1", "k2"]).select("doc_id", "class_id", "copies", "class_key")
+    return merge_join(keys, classes, ["k1", "k2"]).select("doc_id", "class_id", "copies", "class_key")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,27 @@
-"""Balanced label propagation over groups of linked documents, with DataFrame functions only.
+"""Balanced label propagation over linked documents, with DataFrame functions only.
 
-Documents of one group are linked to each other. Members of a group that sit in one shard are alike, so the state is a
-count per (group, shard): a group of any size is at most ``shards`` rows. Each round, every group asks to move its members
-to the shard where it has most; the asked-for moves are summed per (from, to, hash bucket), a table of fixed size, and
-granted up to the free capacity. Documents without links then fill the shards up, so that counts are at most one apart
-(law ``rows``). What is cut are groups larger than a shard and groups for which no capacity was left.
+Links are rows (node, group): the members of a group are neighbours of each other, and an edge is a group of two. Every
+node starts in a shard picked by its hash. In each round the nodes' shards are joined to their links, which gives the
+neighbours' counts per group and shard; joined back and summed, these are a node's votes, and it asks to move to the
+shard with most of them that has room. Moves are summed per (from, to, hash bucket of a group), a table of fixed size,
+and granted up to the free capacity. What was refused asks again, for the best shard that still has room, until nothing
+moves or the rounds are over. Documents without links then fill the shards up, so that counts are at most one apart (law
+``rows``).
 
 Null texts are equal to each other and form a group; so do empty texts. Repeated rows are separate rows of one group. A
-null doc_id sorts first. An empty table gives an empty table.
+null doc_id sorts first. Extra columns are passed on, but for names that begin with two underscores. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, global_rank, materialize, table, text_key
+from .common import drop_scratch, global_rank, materialize, merge_join, table, text_key, values
 
-BUCKETS = 64
-BLOCK = 64
+BUCKETS = 16
+GROUP = ["g0", "g1", "g2"]
 
 
 def _grant(asked: list, load: list[int], cap: list[int]) -> dict[tuple[int, int, int], float]:
@@ -42,60 +45,89 @@ def _grant(asked: list, load: list[int], cap: list[int]) -> dict[tuple[int, int,
     return share
 
 
-def _move(state: DataFrame, shards: int, cap: list[int]) -> tuple[DataFrame, int]:
-    """One round; state(g1, g2, s, n) -> the same after the granted moves, and how many documents moved."""
-    spark = state.sparkSession
-    per_group = Window.partitionBy("g1", "g2").orderBy(F.desc("n"), F.xxhash64("g1", "s"))
-    wish = state.withColumn("to", F.first("s").over(per_group)).withColumn("most", F.first("n").over(per_group))
-    wish = wish.withColumn("b", F.pmod(F.xxhash64("g2", "g1"), F.lit(BUCKETS)).cast("int"))
-    wish = materialize(wish)
-    asked = wish.filter("s <> to").groupBy("s", "to", "b").agg(F.sum("n").alias("n"), F.avg("most").alias("gain")).collect()  # shards^2 * BUCKETS rows at most
-    held = {r["s"]: r["n"] for r in state.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row a shard
-    share = _grant(asked, [held.get(s, 0) for s in range(shards)], cap)
+def edge_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(a, b) between doc_ids and nodes(node, doc_id) -> links: each edge is a group of its own."""
+    named = materialize(edges.select("a", "b").filter("a <> b").distinct().withColumn("g1", F.monotonically_increasing_id()))
+    ends = named.select(F.explode(F.array("a", "b")).alias("doc_id"), "g1")
+    return merge_join(ends, nodes.select("node", "doc_id"), "doc_id").select("node", F.lit(1).alias("g0"), "g1", F.lit(0).cast("long").alias("g2"))
+
+
+def counts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """How many members of each group are in each shard: g0, g1, g2, s, n. Members of one shard meet before the shuffle."""
+    return merge_join(links, labels.select("node", "s"), "node").groupBy(*GROUP, "s").agg(F.count("*").alias("n"))
+
+
+def cut(links: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """Pairs of neighbours in different shards, and groups that lie in several."""
+    per = counts(links, labels).groupBy(*GROUP).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("k"))
+    row = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0)).cast("long"), F.count_if(F.col("k") > 1)).first()
+    return row[0], row[1]
+
+
+def _round(links: DataFrame, labels: DataFrame, shards: int, cap: list[int]) -> tuple[DataFrame, int]:
+    """labels(node, s) after one round of moves, and how many nodes moved."""
+    spark = labels.sparkSession
+    held = {r["s"]: r["n"] for r in labels.groupBy("s").agg(F.count("*").alias("n")).collect()}  # a row a shard
+    load = [held.get(s, 0) for s in range(shards)]
+    # Each group's counts are one row, which its members get by a join; a large group's members are many rows of one key.
+    n_in = [F.sum(F.when(F.col("s") == k, F.col("n")).otherwise(0)).alias(f"v{k}") for k in range(shards)]
+    votes = materialize(counts(links, labels).groupBy(*GROUP).agg(*n_in))
+    heard = materialize(merge_join(links, votes, GROUP))
+    sums = [F.sum(f"v{k}").alias(f"v{k}") for k in range(shards)]
+    score = heard.groupBy("node").agg(*sums, F.min(F.struct(*GROUP)).alias("lead"))
+    # Ties go by the group's hash, so that the members of one group agree.
+    mine = lambda k: F.col("s") == k
+    option = [F.when(mine(k) if load[k] >= cap[k] else F.lit(True), F.struct(F.col(f"v{k}").alias("n"), F.xxhash64("lead", F.lit(k)).alias("h"), F.lit(k).alias("s"))) for k in range(shards)]
+    here = F.coalesce(*[F.when(mine(k), F.col(f"v{k}")) for k in range(shards)])
+    wish = merge_join(score, labels, "node").withColumn("to", F.array_max(F.array(*option))).withColumn("here", here)
+    wish = materialize(wish.select("node", "s", F.col("to.s").alias("to"), (F.col("to.n") - F.col("here")).alias("gain"), F.pmod(F.xxhash64("lead"), F.lit(BUCKETS)).cast("int").alias("b")))
+    asked = wish.filter("s <> to").groupBy("s", "to", "b").agg(F.count("*").alias("n"), F.avg("gain").alias("gain")).collect()  # shards^2 * BUCKETS rows at most
+    share = _grant(asked, load, cap)
     if not share:
-        return state, 0
-    grants = spark.createDataFrame([(*k, v) for k, v in share.items()], "s int, to int, b int, share double")
-    moved = wish.join(F.broadcast(grants), ["s", "to", "b"], "left")  # shards^2 * BUCKETS rows at most
-    moved = moved.withColumn("go", F.floor(F.coalesce(F.col("share"), F.lit(0.0)) * F.col("n")).cast("long"))
-    parts = moved.select("g1", "g2", F.explode(F.array(F.struct(F.col("s"), (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("to").alias("s"), F.col("go").alias("n")))).alias("x"))
-    after = materialize(parts.filter("x.n > 0").groupBy("g1", "g2", F.col("x.s").alias("s")).agg(F.sum("x.n").alias("n")))
-    went = wish.join(F.broadcast(grants), ["s", "to", "b"]).agg(F.sum(F.floor(F.col("share") * F.col("n")))).first()[0] or 0
-    drop_scratch(wish, state)
-    return after, int(went)
-
-
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataFrame:
+        drop_scratch(votes, heard, wish)
+        return labels, 0
+    grants = F.broadcast(values(spark, [(*k, v) for k, v in share.items()], "s int, to int, b int, share double"))  # shards^2 * BUCKETS rows at most
+    go = F.pmod(F.xxhash64("node", "to"), F.lit(1 << 20)) < F.coalesce("share", F.lit(0.0)) * (1 << 20)
+    moved = wish.join(grants, ["s", "to", "b"], "left").withColumn("go", go)
+    after = materialize(moved.select("node", F.when(F.col("go"), F.col("to")).otherwise(F.col("s")).alias("s"), "go"))
+    went = after.filter("go").count()
+    drop_scratch(votes, heard, wish, labels)
+    return after.select("node", "s"), went
+
+
+def propagate(links: DataFrame, shards: int, cap: list[int], rounds: int) -> DataFrame:
+    """links(node, g0, g1, g2) -> node, s: the shard of each linked node, with no more than about cap[s] nodes in s."""
+    start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
+    labels = materialize(links.select("node").distinct().withColumn("s", start))
+    for _ in range(rounds):
+        labels, went = _round(links, labels, shards, cap)
+        if not went:
+            break
+    return labels
+
+
+def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, g1, g2, ...) with shard (int) and slot (long, gapless from 0 in each shard).
 
-    (g1, g2) is the 128-bit key of the group. Shard counts differ by at most one.
+    (g1, g2) is the 128-bit key of the group of a document; edges(a, b) are further links between doc_ids. Shard counts
+    differ by at most one.
     """
     spark = docs.sparkSession
-    base = global_rank(docs, ["g1", "g2", F.asc_nulls_first("doc_id")], "r")
+    base = global_rank(docs, ["g1", "g2", F.asc_nulls_first("doc_id")], "__r")
     total = base.count()
     cap = [total // shards + (s < total % shards) for s in range(shards)]
-
-    groups = base.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("r").alias("start")).filter("n >= 2")
-    groups = materialize(groups)
-    # Members are dealt round robin at first, from a shard that the group's hash picks.
-    first = F.pmod(F.xxhash64("g1", "g2"), F.lit(shards))
-    dealt = groups.select("g1", "g2", "n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("k"), first.alias("f"))
-    dealt = dealt.select("g1", "g2", F.pmod(F.col("f") + F.col("k"), F.lit(shards)).cast("int").alias("s"), (F.col("n") - F.col("k") + shards - 1).alias("m"))
-    state = materialize(dealt.select("g1", "g2", "s", F.expr(f"m div {shards}").alias("n")).filter("n > 0"))
-    for _ in range(rounds):
-        state, went = _move(state, shards, cap)
-        if not went:
-            break
-
-    # A group's counts become intervals of its ranks; rows meet them in blocks of ranks, none of which can be large.
-    seq = Window.partitionBy("g1", "g2").orderBy("s")
-    spans = state.join(groups.select("g1", "g2", "start"), ["g1", "g2"])
-    spans = spans.withColumn("high", F.col("start") + F.sum("n").over(seq)).withColumn("low", F.col("high") - F.col("n"))
-    spans = spans.select("s", "low", "high", F.explode(F.sequence(F.expr(f"low div {BLOCK}"), F.expr(f"(high - 1) div {BLOCK}"))).alias("block"))
-    placed = base.withColumn("block", F.expr(f"r div {BLOCK}")).alias("a").join(spans.alias("b"), F.expr("a.block = b.block AND a.r >= b.low AND a.r < b.high"), "left")
-    placed = placed.select("a.*", F.coalesce("b.s", F.lit(shards)).alias("s")).drop("block")
-
-    ranked = global_rank(placed, ["s", "r"], "q")
-    held = {r["s"]: r["n"] for r in ranked.groupBy("s").agg(F.count("*").alias("n")).collect()}  # shards + 1 rows
+    groups = materialize(base.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n >= 2"))
+    links = merge_join(base, groups, ["g1", "g2"], "left_semi").select(F.col("__r").alias("node"), F.lit(0).alias("g0"), "g1", "g2")
+    if edges is not None:
+        links = links.unionByName(edge_links(edges, base.withColumnRenamed("__r", "node")))
+    links = materialize(links)
+    labels = propagate(links, shards, cap, rounds)
+
+    placed = merge_join(base, labels.select(F.col("node").alias("__r"), F.col("s").alias("__s")), "__r", "left")
+    placed = placed.withColumn("__s", F.coalesce("__s", F.lit(shards)))
+    # In each shard by rank, so that a group's members are neighbours; what exceeds the capacity goes with the unlinked.
+    ranked = global_rank(placed, ["__s", "__r"], "__q")
+    held = {r["__s"]: r["n"] for r in ranked.groupBy("__s").agg(F.count("*").alias("n")).collect()}  # shards + 1 rows
     rows, start, spilt, free = [], 0, 0, []
     for s in range(shards + 1):
         n = held.get(s, 0)
@@ -110,15 +142,17 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataF
         if room:
             gaps.append((s, keep, at, at + room))
             at += room
-    lines = spark.createDataFrame(rows, "s int, start long, keep long, spilt long")
-    line = ranked.join(F.broadcast(lines), "s").withColumn("own", F.col("q") - F.col("start"))  # shards + 1 rows
-    stays = F.col("own") < F.col("keep")
-    filler = F.col("spilt") + F.col("own") - F.col("keep")
-    to, slot = F.col("s").cast("int"), F.col("own")
+    lines = values(spark, rows, "__s int, __start long, __keep long, __spilt long")
+    line = ranked.join(F.broadcast(lines), "__s").withColumn("__own", F.col("__q") - F.col("__start"))  # shards + 1 rows
+    stays = F.col("__own") < F.col("__keep")
+    filler = F.col("__spilt") + F.col("__own") - F.col("__keep")
+    to, slot = F.col("__s").cast("int"), F.col("__own")
     for s, keep, low, high in gaps:
         fits = ~stays & (filler >= low) & (filler < high)
         to, slot = F.when(fits, F.lit(s)).otherwise(to), F.when(fits, filler - low + keep).otherwise(slot)
-    return line.withColumn("shard", to.cast("int")).withColumn("slot", slot.cast("long")).drop("s", "q", "r", "start", "keep", "spilt", "own")
+    line = line.withColumn("__to", to.cast("int")).withColumn("__slot", slot.cast("long"))
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    return line.select(*names, F.col("__to").alias("shard"), F.col("__slot").alias("slot"))
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: b
     k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
     both = docs.withColumn("__k1", k1).withColumn("__k2", k2).drop("text")
     names = [c for c in docs.columns if c != "text"]
-    both = both.join(results.select(*[F.col(c).alias(f"__{c}") for c in results.columns]), ["__k1", "__k2"])
+    both = merge_join(both, results.select(*[F.col(c).alias(f"__{c}") for c in results.columns]), ["__k1", "__k2"])
     late = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) != F.col("__first_id")) & (F.col("__n_bytes") >= window)
     out = [
         F.col("__n_bytes").alias("n_bytes"),
