@@ -137,7 +137,9 @@ def suffixes(s: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[np.nda
     with np.errstate(over="ignore"):
         text = mix((sums[high] - sums[order]) * powers(BASES[0], n + 1, True)[order] + (high - order).astype(U64))
     differs = np.ones(len(order), bool)
-    differs[1:] = text[1:] != text[:-1]
+    differs[1:] = (text[1:] != text[:-1]) | ((high - order)[1:] != (high - order)[:-1])
+    same = np.flatnonzero(~differs)
+    differs[same] = ~_alike(s, order[same - 1], order[same], (high - order)[same])
     rank = np.zeros(len(lms), np.int64)
     rank[at] = np.cumsum(differs)
     # Rank the suffixes of the names by doubling; a name stands for two symbols at least.
@@ -151,10 +153,25 @@ def suffixes(s: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[np.nda
     yield from induce(s, symbols, lms[np.argsort(rank, kind="stable")], memory)
 
 
+def _alike(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of s at a and at b have the same symbols."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(a):  # about a million symbols at a time
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+        n = size[low:high]
+        which = np.repeat(np.arange(low, high), n)
+        away = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        out[which[s[a[which] + away] != s[b[which] + away]]] = False
+        low = high
+    return out
+
+
 def equal_windows(s: np.ndarray, windows: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """(group, place) of the windows of depth symbols that have an equal; windows: whether one starts at each place.
 
-    Equal windows are neighbours in suffix order. Neighbours with one hash are compared symbol by symbol.
+    Equal windows are neighbours in suffix order; neighbours with one hash are compared symbol by symbol.
     """
     sums = prefix(s.astype(np.uint32) + 1, BASES[1])
     inverse = powers(BASES[1], len(s) + 1, True)
@@ -168,11 +185,7 @@ def equal_windows(s: np.ndarray, windows: np.ndarray, depth: int, memory: int =
         with np.errstate(over="ignore"):
             h = (sums[row + depth] - sums[row]) * inverse[row]
         same = np.flatnonzero(h[1:] == h[:-1])
-        for low in range(0, len(same), 4096):
-            some = same[low : low + 4096]
-            away = np.arange(depth)
-            if (s[row[some][:, None] + away] != s[row[some + 1][:, None] + away]).any():
-                raise AssertionError("two different windows share a hash")
+        same = same[_alike(s, row[same], row[same + 1], np.full(len(same), depth))]
         link = np.zeros(len(row), bool)
         link[same + 1] = True
         name = group + np.cumsum(~link)

@@ -239,10 +239,10 @@ def several(rows: DataFrame) -> DataFrame:
     return materialize(merge_join(rows, again, "fp", "left_semi"))
 
 
-def settle_windows(stores: list[DataFrame], look: DataFrame, window: int, words: bool) -> DataFrame:
-    """look(tid, at, n, single): spans -> at, rt, ra, single of their windows that equal that of text rt at ra, unit by unit.
+def settle_windows(stores: list[DataFrame], look: DataFrame, window: int, words: bool, bits: int = 64) -> DataFrame:
+    """look(tid, at, n, single): spans -> tid, at, rt, ra, single of their windows that equal that of text rt at ra.
 
-    The first window of each group of equal ones has a row with itself. single is passed on.
+    The first window of each group of equal ones has a row with itself. single is passed on. bits: of either hash.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def settle_windows(stores: list[DataFrame], look: DataFrame, window: int, words:
                 which = np.repeat(np.arange(len(at)), n)
                 start = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 low = units.first[text[which]] + start
-                columns = [units.hashes(low, low + window, b).view(np.int64) for b in (0, 1)]
+                columns = [(units.hashes(low, low + window, b) & U64((1 << bits) - 1)).view(np.int64) for b in (0, 1)]
                 columns += [tids[text[which]], start.astype(np.int32), single[which].astype(bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w1", "w2", "tid", "at", "single"])
 

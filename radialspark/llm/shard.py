@@ -3,9 +3,9 @@
 Links are rows (node, group): the members of a group are neighbours of each other, and an edge is a group of two. Every
 node starts in a shard picked by its hash. In each round the nodes' shards are joined to their links, which gives the
 neighbours' counts per group and shard; joined back and summed, these are a node's votes, and it asks to move to the
-shard with most of them that has room. Moves are summed per (from, to, hash bucket of a group), a table of fixed size,
-and granted up to the free capacity. What was refused asks again, for the best shard that still has room, until nothing
-moves or the rounds are over. Documents without links then fill the shards up, so that counts are at most one apart (law
+shard with most of them. Moves are summed per (from, to, hash bucket of a group), a table of fixed size, and granted as
+far as others come the other way or there is room. Every second round, votes go to as few shards as have room for all
+voters, so that a large group fills some shards instead of asking for one. Rounds end when nothing moves. Documents without links then fill the shards up, so that counts are at most one apart (law
 ``rows``).
 
 Null texts are equal to each other and form a group; so do empty texts. Repeated rows are separate rows of one group. A
@@ -15,7 +15,7 @@ an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, global_rank, materialize, merge_join, table, text_key, values
@@ -25,24 +25,25 @@ GROUP = ["g0", "g1", "g2"]
 
 
 def _grant(asked: list, load: list[int], cap: list[int]) -> dict[tuple[int, int, int], float]:
-    """Which share of each (from, to, bucket) may move: in order of gain, up to what is free in ``to`` by then."""
-    load = list(load)
-    share: dict[tuple[int, int, int], float] = {}
-    left = sorted(asked, key=lambda r: (-r["gain"], r["b"], r["s"], r["to"]))
+    """Which share of each (from, to, bucket) may move: in order of gain, as many as come the other way and as have room."""
+    flow: dict[tuple[int, int], int] = {}
+    for r in asked:
+        flow[r["s"], r["to"]] = flow.get((r["s"], r["to"]), 0) + r["n"]
+    swaps = {(s, t): min(n, flow.get((t, s), 0)) for (s, t), n in flow.items()}
+    free = [max(0, c - x) for c, x in zip(cap, load, strict=True)]
+    taken: dict[tuple[int, int, int], int] = {}
+    order = sorted(asked, key=lambda r: (-r["gain"], r["b"], r["s"], r["to"]))
     for _ in range(3):  # what leaves a shard makes room there for rows that came earlier in the order
-        later = []
-        for r in left:
-            key, free = (r["s"], r["to"], r["b"]), cap[r["to"]] - load[r["to"]]
-            if key in share or free <= 0:
-                later.append(r)
-                continue
-            take = min(1.0, free / r["n"])
-            share[key] = take
-            moved = int(take * r["n"])
-            load[r["s"]] -= moved
-            load[r["to"]] += moved
-        left = [r for r in later if (r["s"], r["to"], r["b"]) not in share]
-    return share
+        for r in order:
+            s, to, key = r["s"], r["to"], (r["s"], r["to"], r["b"])
+            left = r["n"] - taken.get(key, 0)
+            swap = min(left, swaps[s, to])
+            move = min(left - swap, free[to])
+            swaps[s, to] -= swap
+            free[to] -= move
+            free[s] += move
+            taken[key] = taken.get(key, 0) + swap + move
+    return {(r["s"], r["to"], r["b"]): taken[r["s"], r["to"], r["b"]] / r["n"] for r in asked if taken[r["s"], r["to"], r["b"]]}
 
 
 def edge_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,8 +65,8 @@ def cut(links: DataFrame, labels: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _round(links: DataFrame, labels: DataFrame, shards: int, cap: list[int]) -> tuple[DataFrame, int]:
-    """labels(node, s) after one round of moves, and how many nodes moved."""
+def _round(links: DataFrame, labels: DataFrame, shards: int, cap: list[int], spread: bool) -> tuple[DataFrame, int]:
+    """labels(node, s) after one round of moves, and how many nodes moved; spread: votes go where there is room."""
     spark = labels.sparkSession
     held = {r["s"]: r["n"] for r in labels.groupBy("s").agg(F.count("*").alias("n")).collect()}  # a row a shard
     load = [held.get(s, 0) for s in range(shards)]
@@ -74,12 +75,38 @@ def _round(links: DataFrame, labels: DataFrame, shards: int, cap: list[int]) ->
     votes = materialize(counts(links, labels).groupBy(*GROUP).agg(*n_in))
     heard = materialize(merge_join(links, votes, GROUP))
     sums = [F.sum(f"v{k}").alias(f"v{k}") for k in range(shards)]
-    score = heard.groupBy("node").agg(*sums, F.min(F.struct(*GROUP)).alias("lead"))
+    score = heard.groupBy("node").agg(*sums, F.min(F.struct(*GROUP)).alias("lead"), F.count("*").alias("degree"))
     # Ties go by the group's hash, so that the members of one group agree.
-    mine = lambda k: F.col("s") == k
-    option = [F.when(mine(k) if load[k] >= cap[k] else F.lit(True), F.struct(F.col(f"v{k}").alias("n"), F.xxhash64("lead", F.lit(k)).alias("h"), F.lit(k).alias("s"))) for k in range(shards)]
-    here = F.coalesce(*[F.when(mine(k), F.col(f"v{k}")) for k in range(shards)])
-    wish = merge_join(score, labels, "node").withColumn("to", F.array_max(F.array(*option))).withColumn("here", here)
+    room = [max(0, c - x) for c, x in zip(cap, load, strict=True)]
+    option = [F.struct(F.col(f"v{k}").cast("long").alias("n"), F.xxhash64("lead", F.lit(k)).alias("h"), F.lit(k).alias("s"), F.lit(room[k]).cast("long").alias("room")) for k in range(shards)]
+    # A node is in each of its groups but has one vote of its own.
+    wish = merge_join(score, labels, "node")
+    wish = wish.withColumns({f"v{k}": F.col(f"v{k}") - F.when(F.col("s") == k, F.col("degree") - 1).otherwise(0) for k in range(shards)})
+    here = F.coalesce(*[F.when(F.col("s") == k, F.col(f"v{k}")) for k in range(shards)])
+    if spread:
+        # The best shards that together hold all voters: who is in one of them stays, the others are dealt over their room.
+        size = sum((F.col(f"v{k}") for k in range(1, shards)), F.col("v0"))
+        kind = "struct<sum: bigint, free: bigint, used: array<struct<n: bigint, h: bigint, s: int, room: bigint>>>"
+        none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("free"), F.array().alias("used")).cast(kind)
+
+        def take(a: Column, x: Column) -> Column:
+            more = F.struct((a["sum"] + x["n"] + x["room"]).alias("sum"), (a["free"] + x["room"]).alias("free"), F.concat(a["used"], F.array(x)).alias("used"))
+            return F.when(a["sum"] < F.col("size"), more).otherwise(a)
+
+        wish = wish.withColumn("size", size).withColumn("best", F.aggregate(F.reverse(F.array_sort(F.array(*option))), none, take))
+        part = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20) * F.col("best.free")
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("s"), F.lit(0).cast("long").alias("n"))
+
+        def pick(a: Column, x: Column) -> Column:
+            hit = (a["s"] < 0) & (a["sum"] + x["room"] > F.col("part"))
+            return F.struct((a["sum"] + x["room"]).alias("sum"), F.when(hit, x["s"]).otherwise(a["s"]).alias("s"), F.when(hit, x["n"]).otherwise(a["n"]).alias("n"))
+
+        wish = wish.withColumn("part", part).withColumn("to", F.aggregate("best.used", start, pick))
+        stays = F.exists("best.used", lambda x: x["s"] == F.col("s")) | (F.col("to.s") < 0)
+        wish = wish.withColumn("to", F.when(stays, F.struct(here.alias("n"), F.col("s"))).otherwise(F.struct(F.col("to.n").alias("n"), F.col("to.s").alias("s"))))
+    else:
+        wish = wish.withColumn("to", F.array_max(F.array(*option)))
+    wish = wish.withColumn("here", here)
     wish = materialize(wish.select("node", "s", F.col("to.s").alias("to"), (F.col("to.n") - F.col("here")).alias("gain"), F.pmod(F.xxhash64("lead"), F.lit(BUCKETS)).cast("int").alias("b")))
     asked = wish.filter("s <> to").groupBy("s", "to", "b").agg(F.count("*").alias("n"), F.avg("gain").alias("gain")).collect()  # shards^2 * BUCKETS rows at most
     share = _grant(asked, load, cap)
@@ -99,14 +126,16 @@ def propagate(links: DataFrame, shards: int, cap: list[int], rounds: int) -> Dat
     """links(node, g0, g1, g2) -> node, s: the shard of each linked node, with no more than about cap[s] nodes in s."""
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     labels = materialize(links.select("node").distinct().withColumn("s", start))
-    for _ in range(rounds):
-        labels, went = _round(links, labels, shards, cap)
-        if not went:
+    before = 1
+    for k in range(rounds):
+        labels, went = _round(links, labels, shards, cap, k % 2 == 0)
+        if not went and not before:
             break
+        before = went
     return labels
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, edges: DataFrame | None = None) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = 8, edges: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, g1, g2, ...) with shard (int) and slot (long, gapless from 0 in each shard).
 
     (g1, g2) is the 128-bit key of the group of a document; edges(a, b) are further links between doc_ids. Shard counts
