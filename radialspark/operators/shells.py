@@ -20,12 +20,15 @@ MOST_CELLS = 512
 
 
 def shell_of(d2: Column, radii: Sequence[float]) -> Column:
-    """The first shell whose outer radius is beyond the distance; null beyond the last."""
-    out = None
-    for i, r in enumerate(radii):
-        inside = d2 < f32(float32(r * r))
-        out = F.when(inside, F.lit(i)) if out is None else out.when(inside, F.lit(i))
-    return out
+    """The first shell whose outer radius is beyond the distance; null beyond the last.
+
+    Asked from the outside: most particles of a ball lie in its outermost shells.
+    """
+    last = len(radii) - 1
+    out = F.when(d2 >= f32(float32(radii[last] * radii[last])), F.lit(None).cast("int"))
+    for i in range(last, 0, -1):
+        out = out.when(d2 >= f32(float32(radii[i - 1] * radii[i - 1])), F.lit(i))
+    return out.otherwise(F.lit(0))
 
 
 def images(halos: DataFrame, radius: float, periodic: bool = True, low: float = BOX_LOW, high: float = BOX_HIGH) -> DataFrame:

@@ -1,8 +1,8 @@
 """Sort-tile-recursive (STR) tiling as window queries, and the level table of the tree it packs.
 
 Leaves are ordered by y, cut into slabs, ordered by x in a slab, cut into chunks, ordered by z in a chunk, and packed by
-FANOUT; ties follow reverse insertion. A global sort has one task at its end only for the slab cut; the rest runs per slab
-and chunk. Levels above use the boxes' centres.
+FANOUT; ties follow reverse insertion. The slab cut takes ranks over range partitions; the rest runs per slab and chunk, of
+which there are as many as the tree is wide. Levels above use the boxes' centres.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from radialspark.sources.scratch import ranked
+
 FANOUT = 10
 
 
@@ -44,7 +46,7 @@ def tile(leaves: DataFrame, ordinal: str = "ordinal", n: int | None = None, fano
     n = leaves.count() if n is None else n
     w1, w2 = widths(max(n, 1), fanout)
     last = F.desc(ordinal)
-    out = leaves.withColumn("p1", F.row_number().over(Window.orderBy("y", last)) - 1).withColumn("slab", F.expr(f"p1 div {w1}"))
+    out = ranked(leaves, [F.col("y"), last], "p1").withColumn("slab", F.expr(f"p1 div {w1}"))
     out = out.withColumn("p2", F.row_number().over(Window.partitionBy("slab").orderBy("x", "p1")) - 1).withColumn("chunk", F.expr(f"p2 div {w2}"))
     out = out.withColumn("p3", F.row_number().over(Window.partitionBy("slab", "chunk").orderBy("z", "p2")) - 1)
     out = out.withColumn("pos", (F.col("slab") * w1 + F.col("chunk") * w2 + F.col("p3")).cast("long"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from radialspark.functions import geometry as geo
 from radialspark.functions import grid as ids
 from radialspark.operators import shells, tiling
+from radialspark.operators.search import search
+from radialspark.sources import binary, text
+from radialspark.sources.scratch import new_folder
 
 RADII = [10.0, 20.0, 40.0]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,16 +142,12 @@ def range_search_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("halo_scan", f"WITH {H_SQL} SELECT id, printf('%d: %f {{%f %f %f}}', id, CAST(id AS DOUBLE), CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(z AS DOUBLE)) AS line FROM h")
 def halo_scan(spark: SparkSession, d: str) -> DataFrame:
-    from radialspark.sources.text import halo_line
-
-    return halos(spark, d).withColumn("mass", F.col("id").cast("double")).select("id", halo_line().alias("line"))
+    return halos(spark, d).withColumn("mass", F.col("id").cast("double")).select("id", text.halo_line().alias("line"))
 
 
 @query("particle_scan", f"WITH {P_SQL} SELECT pid, printf('{{%f %f %f}}', CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(z AS DOUBLE)) AS line FROM p")
 def particle_scan(spark: SparkSession, d: str) -> DataFrame:
-    from radialspark.sources.text import particle_line
-
-    return particles(spark, d).select("pid", particle_line().alias("line"))
+    return particles(spark, d).select("pid", text.particle_line().alias("line"))
 
 
 @query("periodic_images", f"WITH {_near_sql(40)} SELECT halo_row, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM i")
@@ -296,3 +295,152 @@ def union_batches(spark: SparkSession, d: str) -> DataFrame:
     p = particles(spark, d)
     a, n, r = (p.filter(F.col("batch") == b) for b in ("A", "N", "R"))
     return a.unionByName(n).unionByName(r)
+
+
+_READ_SQL = "SELECT id, CAST(id AS DOUBLE) AS mass, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM "
+
+
+def _halo_files(spark: SparkSession, d: str, files: int = 3) -> str:
+    """The halos as halo lists in a scratch folder, to be read again."""
+    folder = new_folder(spark)
+    text.write_halos(halos(spark, d).withColumn("mass", F.col("id").cast("double")), folder, files)
+    return f"{folder}/*"
+
+
+def _as_double(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if c in ("mass", "x", "y", "z") else F.col(c) for c in names])
+
+
+@query("scan_halo_files", f"WITH {H_SQL} {_READ_SQL} h")
+def scan_halo_files(spark: SparkSession, d: str) -> DataFrame:
+    """Halo lists behind headers, several files, written from customer and read through the text reader."""
+    return _as_double(text.read_halos(spark, _halo_files(spark, d)), "id", "mass", "x", "y", "z")
+
+
+@query("scan_halo_ordinals", "SELECT count(*) AS n, min(c_custkey) - min(c_custkey) AS low, count(*) - 1 AS high, count(*) AS different FROM customer")
+def scan_halo_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """The ordinals of the data lines: gapless from 0 over all files."""
+    rows = text.read_halos(spark, _halo_files(spark, d))
+    return rows.agg(F.count("*").alias("n"), F.min("halo_row").alias("low"), F.max("halo_row").alias("high"), F.count_distinct("halo_row").alias("different"))
+
+
+@query("scan_halos_by_id_list", f"WITH {H_SQL}{_FILTERED} {_READ_SQL} f")
+def scan_halos_by_id_list(spark: SparkSession, d: str) -> DataFrame:
+    """An id list written as text and read back, and the halo lists filtered by it."""
+    ids_at = new_folder(spark)
+    filter_ids(spark, d).select(F.col("id").cast("string")).write.text(ids_at)
+    return _as_double(text.read_halos(spark, _halo_files(spark, d), text.read_ids(spark, ids_at)), "id", "mass", "x", "y", "z")
+
+
+@query("scan_decoded_files", f"WITH {P_SQL} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, count(*) AS n FROM p GROUP BY ALL")
+def scan_decoded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded particle files, written in parallel from lineitem and read back."""
+    folder = new_folder(spark)
+    binary.write_particle_files(particles(spark, d), folder)
+    return _as_double(binary.read_particles(spark, folder), "x", "y", "z").groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+
+
+_HEADER = {"npart": [0, 512, 0, 0, 0, 0], "npartTotal": [0, 512, 0, 0, 0, 0], "BoxSize": 1000.0, "disp_min": -16.0, "disp_max": 16.0, "pos_bits": 16, "id_start": 1}
+_CODE_SQL = "c AS (SELECT DISTINCT r_regionkey AS part, CAST(unnest(range(512)) AS BIGINT) AS pid FROM region)"
+
+
+def _compressed_files(spark: SparkSession, d: str) -> str:
+    """A compressed file of 512 particles for each region, in a scratch folder."""
+    folder = new_folder(spark)
+    header = _HEADER
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for key in batch.column("r_regionkey").to_pylist():
+                pid = np.arange(512)
+                codes = np.stack([(pid + key) % 32 * 2048, (pid + key) % 16 * 2048, (pid + key) % 8 * 2048], axis=1)
+                binary._write_file(f"{folder}/c{key}", binary.pack_compressed(header, codes))
+            yield pa.RecordBatch.from_arrays([batch.column("r_regionkey")], ["r_regionkey"])
+
+    regions = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("r_regionkey"))
+    regions.mapInArrow(write, "r_regionkey long").count()
+    return folder
+
+
+@query("scan_compressed_files", f"WITH {_CODE_SQL} SELECT part, pid, CAST((pid + part) % 32 * 2048 AS INTEGER) AS ux, CAST((pid + part) % 16 * 2048 AS INTEGER) AS uy, CAST((pid + part) % 8 * 2048 AS INTEGER) AS uz FROM c")
+def scan_compressed_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = binary.read_compressed(spark, _compressed_files(spark, d))
+    return rows.select(F.regexp_extract("file", r"c(\d+)$", 1).cast("long").alias("part"), "pid", "ux", "uy", "uz")
+
+
+@query("scan_and_decode_files", f"WITH {_CODE_SQL} SELECT part, pid, CAST(125 * (pid // 64) - 16 + (pid + part) % 32 AS DOUBLE) AS x, CAST(125 * (pid // 8 % 8) - 16 + (pid + part) % 16 AS DOUBLE) AS y, CAST(125 * (pid % 8) - 16 + (pid + part) % 8 AS DOUBLE) AS z FROM c")
+def scan_and_decode_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = binary.decode_compressed(spark, _compressed_files(spark, d))
+    return _as_double(rows.withColumn("part", F.regexp_extract("file", r"c(\d+)$", 1).cast("long")), "part", "pid", "x", "y", "z")
+
+
+@query("scan_decoded_output", f"WITH {_CODE_SQL} SELECT part, count(*) * 12 AS bytes FROM c GROUP BY part")
+def scan_decoded_output(spark: SparkSession, d: str) -> DataFrame:
+    """Compressed files decoded to files, and the sizes of those."""
+    out = new_folder(spark)
+    binary.decode_files(spark, _compressed_files(spark, d), out)
+    return binary.file_sizes(spark, out).select(F.regexp_extract("file", r"decoded_c(\d+)$", 1).cast("long").alias("part"), "bytes")
+
+
+@query("scan_headers", "SELECT r_regionkey AS part, f.field, f.value FROM region, (VALUES ('BoxSize', '1000.0'), ('pos_bits', '16'), ('npart', '[0, 512, 0, 0, 0, 0]')) f(field, value)")
+def scan_headers(spark: SparkSession, d: str) -> DataFrame:
+    rows = binary.header_rows(spark, _compressed_files(spark, d)).filter(F.col("field").isin("BoxSize", "pos_bits", "npart"))
+    return rows.select(F.regexp_extract("file", r"c(\d+)$", 1).cast("long").alias("part"), "field", "value")
+
+
+_EDGE_NAMES = ["0.000000", "10.000000", "20.000000", "40.000000"]
+_SHELL_TEXT = " || ".join(f"chr(10) || '  [{_EDGE_NAMES[i]} ~ {_EDGE_NAMES[i + 1]}]: ' || n{i}" for i in range(3))
+
+
+@query("report_text", f"{_wide_sql()}, t AS (SELECT 'id ' || id || {_SHELL_TEXT} AS text FROM w UNION ALL SELECT chr(10) || 'Total' || {_SHELL_TEXT} FROM (SELECT {_SUMS} FROM w)) SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM t) GROUP BY line")
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the shell counts as written files, by line."""
+    folder = new_folder(spark)
+    text.write_report_files(shell_count_periodic(spark, d), RADII, folder)
+    return spark.read.text(folder).select(F.col("value").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("accumulated_batches", f"{_wide_sql()} {_WIDE}")
+def accumulated_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of one particle batch after the other, added up."""
+    p = particles(spark, d)
+    return shells.accumulate([shells.shell_counts(halos(spark, d), p.filter(F.col("batch") == b), RADII) for b in "ANR"])
+
+
+@query("incremental_files", f"{_wide_sql()} {_WIDE}")
+def incremental_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same from files: halo lists and decoded files, a micro-batch per particle file. ids name the halos."""
+    folder = new_folder(spark)
+    binary.write_particle_files(particles(spark, d).repartition(3).select("pid", "x", "y", "z"), folder)
+    counts = search(spark, _halo_files(spark, d), folder, RADII, mode="incremental")
+    return counts.withColumn("halo_row", F.col("id"))
+
+
+_NODE_SQL = _TILE_SQL + ", n1 AS (SELECT (slab * w1 + chunk * w2 + p3) // 10 AS node, min(x) AS low_x, min(y) AS low_y, min(z) AS low_z, max(x) AS upp_x, max(y) AS upp_y, max(z) AS upp_z, count(*) AS entries FROM c GROUP BY ALL)"
+_LEVEL2_SQL = (
+    ", k2 AS (SELECT CAST(10 * ceil(pow(ceil(count(*) / 10.0), 2.0 / 3)) AS BIGINT) AS v1, CAST(10 * ceil(sqrt(ceil(count(*) / 10.0))) AS BIGINT) AS v2 FROM n1), "
+    "a2 AS (SELECT n1.*, v1, v2, row_number() OVER (ORDER BY low_y + upp_y, node DESC) - 1 AS p1 FROM n1, k2), "
+    "b2 AS (SELECT *, p1 // v1 AS slab, row_number() OVER (PARTITION BY p1 // v1 ORDER BY low_x + upp_x, p1) - 1 AS p2 FROM a2), "
+    "c2 AS (SELECT *, p2 // v2 AS chunk, row_number() OVER (PARTITION BY slab, p2 // v2 ORDER BY low_z + upp_z, p2) - 1 AS p3 FROM b2), "
+    "n2 AS (SELECT (slab * v1 + chunk * v2 + p3) // 10 AS node, min(low_x) AS low_x, min(low_y) AS low_y, min(low_z) AS low_z, max(upp_x) AS upp_x, max(upp_y) AS upp_y, max(upp_z) AS upp_z, count(*) AS entries FROM c2 GROUP BY ALL)"
+)
+_BOX_COLUMNS = "CAST(node AS BIGINT) AS node, low_x, low_y, low_z, upp_x, upp_y, upp_z, entries"
+
+
+@query("str_two_levels", f"{_NODE_SQL}{_LEVEL2_SQL} SELECT 1 AS depth, {_BOX_COLUMNS} FROM n1 UNION ALL SELECT 2, {_BOX_COLUMNS} FROM n2")
+def str_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The two lowest levels of the packed tree over the halos."""
+    levels = tiling.build_levels(halos(spark, d), "id")
+    rows = [nodes.withColumn("depth", F.lit(k + 1)) for k, nodes in enumerate(levels[:2])]
+    out = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    return out.select("depth", "node", *[f"{e}_{a}" for e in ("low", "upp") for a in "xyz"], "entries")
+
+
+@query("str_traversal", f"{_NODE_SQL} SELECT min(low_x) AS low_x, min(low_y) AS low_y, min(low_z) AS low_z, max(upp_x) AS upp_x, max(upp_y) AS upp_y, max(upp_z) AS upp_z FROM n1")
+def str_traversal(spark: SparkSession, d: str) -> DataFrame:
+    """The root, with which the traversal of the tree begins."""
+    rows = tiling.traverse(tiling.build_levels(halos(spark, d), "id"))
+    return rows.filter("level = 0").select(*[f"{e}_{a}" for e in ("low", "upp") for a in "xyz"])

@@ -20,7 +20,7 @@ POINTS = [(0, 0, 0), (1, 0, 0), (999, 0, 0), (999, 999, 999), (0, 0, 995), (0, 0
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "customer lineitem orders part".split():
+    for t in "customer lineitem orders part region".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -146,6 +146,11 @@ def test_generators_and_text(spark, tmp_path):
     (tmp_path / "bad").write_text("#\n" * 16 + "1 2 3\n")
     with pytest.raises(Exception, match="malformed"):
         text.read_halos(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "short").write_text("#\n" * 9)
+    with pytest.raises(ValueError, match="header"):
+        text.read_halos(spark, str(tmp_path / "short"))
+    two = text.read_halos(spark, [h, h.replace("h.list", "h.list")]).count()
+    assert two in (3, 6)
     assert generate.uniform_particles(spark, 10).count() == generate.uniform_halos(spark, 10).count() == 10
 
 
@@ -156,6 +161,43 @@ def test_report(spark, tmp_path):
     assert got[:2] == ["id 0", "  [0.000000 ~ 1.000000]: 1"] and got[-4:] == ["Total", "  [0.000000 ~ 1.000000]: 2", "  [1.000000 ~ 2.000000]: 5", "  [2.000000 ~ 5.000000]: 6"]
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    generate.write_uniform_particles([path], 5000)
+    want = sorted(map(tuple, binary.read_particles(spark, path).collect()))
+    monkeypatch.setattr(binary, "RANGE", 12 * 700)
+    assert sorted(map(tuple, binary.read_particles(spark, path, whole=0).collect())) == want
+    codes = np.random.default_rng(1).integers(0, 65536, (1000, 3))
+    header = {"npart": [0, 990, 0, 0, 0, 0], "npartTotal": [0, 1000, 0, 0, 0, 0], "BoxSize": 1000.0, "disp_min": -16.0, "disp_max": 16.0, "pos_bits": 16, "id_start": 1}
+    (tmp_path / "c").write_bytes(binary.pack_compressed(header, codes))
+    whole, parts = (binary.decode_compressed(spark, str(tmp_path / "c"), whole=w) for w in (1 << 20, 0))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and parts.count() == 990
+    plain = grid.decode(binary.read_compressed(spark, str(tmp_path / "c")), grid.Decoding.of(header))
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r)[1:] for r in whole.collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from radialspark.__main__ import main
+
+    p, h = str(tmp_path / "in" / "p0"), str(tmp_path / "h")
+    (tmp_path / "in").mkdir()
+    main(["generate-particles", "-f", p, "-n", "2000"])
+    main(["generate-halos", "-f", h, "-n", "5"])
+    out = [str(tmp_path / n) for n in ("a", "b", "c")]
+    main(["count", "--particle-files", p, "--halo-file", h, "--radius", "200:50:3", "--output-file", out[0]])
+    main(["count", "--particle-files", str(tmp_path / "in"), "--halo-file", h, "--radius", "50:200:3", "--mode", "incremental", "--output-file", out[1]])
+    main(["count", "--particle-files", p, "--halo-file", h, "--radius", "50:200:3", "--output-folder", out[2]])
+    report = (tmp_path / "a").read_text()
+    assert report == (tmp_path / "b").read_text() and report.startswith("id 0\n  [0.000000 ~ 50.000000]: ") and "\nTotal\n" in report
+    assert "".join(f.read_text() for f in sorted((tmp_path / "c").glob("part-*"))) == report
+    assert "searching:" in capsys.readouterr().err
+    main(["halos", "-f", h])
+    assert capsys.readouterr().out.startswith("0: 827952005120.000000 {418.681091")
+    for bad in (["--radius", "1:1:3"], ["--radius", "0:2:3"], ["--radius", "1:2"]):
+        with pytest.raises(SystemExit):
+            main(["count", "--particle-files", p, "--halo-file", h, *bad])
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
