@@ -19,6 +19,8 @@ from .common import global_rank, materialize, table, text_key
 
 #: Neighbouring documents that one window holds.
 BLOCK = 64
+#: Size of the bitmap of buckets with more than one row.
+BITS = 1 << 22
 
 
 def canonical(text: Column) -> Column:
@@ -40,17 +42,20 @@ def digest(canon: Column) -> Column:
     return F.get(F.transform(F.array(canon), hexed), F.lit(0))
 
 
-def _form(text: Column) -> Column:
-    """The canonical form and its fingerprint, as a struct."""
-    return F.get(F.transform(F.array(canonical(text)), lambda c: F.struct(digest(c).alias("fingerprint"), c.alias("canon"))), F.lit(0))
+def colliding(prints: DataFrame, forms: DataFrame) -> DataFrame:
+    """The fingerprints that unlike forms share, from prints(fingerprint) of all and forms(fingerprint, text).
 
-
-def colliding(forms: DataFrame) -> DataFrame:
-    """The fingerprints in forms(fingerprint, canon) that unlike forms share: bytes are compared inside each bucket.
-
-    Grouping sends one smallest and one largest form per bucket and task, so copies meet before the shuffle.
+    Bytes are compared inside each bucket of more than one row. A bitmap of BITS bits, a table of bounded size, holds where
+    such buckets may be, so that most texts stay where they are. Grouping sends one smallest and one largest form per
+    bucket and task, so copies meet before the shuffle.
     """
-    buckets = forms.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
+    at = F.pmod(F.xxhash64("fingerprint"), F.lit(BITS).cast("long"))
+    word, bit = F.shiftright(at, 6), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(fingerprint), {BITS}L) & 63 AS INT))")
+    again = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
+    mask = materialize(again.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask")))
+    some = forms.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(mask), "word")  # BITS / 64 rows at most
+    some = some.filter(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("fingerprint", canonical(F.col("text")).alias("canon"))
+    buckets = some.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     return materialize(buckets.filter("low <> high").select("fingerprint"))
 
 
@@ -68,13 +73,16 @@ def _flag(df: DataFrame, odd: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprint_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """General use: docs with ``fingerprint`` and ``collides``; rows with equal canonical forms share a fingerprint."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    odd = colliding(docs.select(_form(whole).alias("f")).select("f.fingerprint", "f.canon"))
+    forms = docs.select(digest(canonical(whole)).alias("fingerprint"), whole.alias("text"))
+    odd = colliding(forms.select("fingerprint"), forms)
     return _flag(docs.withColumn("fingerprint", digest(canonical(whole))), odd, ["fingerprint"])
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text, ...) with next_<c> for each of the columns: the values of the next row by (doc_id, text key).
 
+    Also the rows without them, as written for the ranks.
+
     The last row gets the first one's. Rows are ranked over range partitions and dealt in blocks of BLOCK ranks; each
     block's first row goes to the block before it, too. No window holds more than a block, whatever the size of docs.
     """
@@ -92,7 +100,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     order = Window.partitionBy("__block").orderBy("__r")
     for c in columns:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.filter("__own").drop("__block", "__r", "__own")
+    return dealt.filter("__own").drop("__block", "__r", "__own"), ranked.select(*docs.columns)
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     An exact digest knows only equal and different, so both likenesses are 1.0 or 0.0; bytes decide, not digests.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    near = with_next(base.withColumn("fingerprint", digest(canonical(F.col("text")))), ["text", "fingerprint"])
+    near, ranked = with_next(base.withColumn("fingerprint", digest(canonical(F.col("text")))), ["text", "fingerprint"])
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     near = near.withColumn("cut", cut).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cut)"), F.expr("left(next_text, cut)")))
@@ -123,8 +131,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             "edited",
         )
     )
-    forms = base.select(_form(F.col("text")).alias("f")).unionByName(rows.select(_form(F.col("edited")).alias("f")))
-    odd = colliding(forms.select("f.fingerprint", "f.canon"))
+    prints = rows.select("fingerprint").unionByName(rows.select(F.col("edited_fingerprint").alias("fingerprint")))
+    edited = rows.select(F.col("edited_fingerprint").alias("fingerprint"), F.col("edited").alias("text"))
+    odd = colliding(prints, ranked.select("fingerprint", "text").unionByName(edited))
     return _flag(rows.drop("edited"), odd, ["fingerprint", "edited_fingerprint"])
 
 
