@@ -23,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: The benchmark's shingles are broadcast up to so many bytes, at ROW_BYTES each in memory; beyond, the join shuffles.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Tasks that the copies of one text are dealt over.
+COPIES = 32
 
 
 def words(text: Column) -> Column:
@@ -71,6 +73,16 @@ def prefixes(spots: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataF
     return best.filter("p.df > 0").select("b", "n", F.col("p.pos").alias("pos"), F.col("p.h").alias("h")).distinct()
 
 
+def _one_each(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows(t, u, text) whose (t, u) is in keys, one of each; copies of a text are dealt over COPIES tasks until they are one."""
+    spread = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(COPIES)))
+    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    some = spread.join(keys, ["t", "u", "salt"], "left_semi")
+    for by in (["t", "u", "salt"], ["t", "u"]):
+        some = some.groupBy(*by).agg(F.any_value("text").alias("text"))
+    return some
+
+
 def text_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(text) -> a row per distinct text with words: t, u (its key), n_words, hits (word places), item_ids (sorted)."""
     t, u = text_key(F.col("text"))
@@ -100,8 +112,9 @@ def text_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     near = found.select("t", "u", "pos", "h").join(ours, "h")
     near = materialize(near.filter(F.least(F.col("pos"), F.size("item_left")) + F.size("item_right") >= F.col("need")).drop("h"))
     lists = materialize(near.groupBy("t", "u").agg(F.collect_set("pos").alias("places")))  # no more than the text's words
-    theirs = base.join(lists, ["t", "u"]).groupBy("t", "u").agg(F.any_value("text").alias("text"), F.any_value("places").alias("places"))
-    theirs = _contexts(theirs.withColumn("words", words(F.col("text"))), ["t", "u"], "places", window)
+    # Words are made below the join; above it, filters that the optimizer infers would make them again for each place.
+    met = _one_each(base, lists.select("t", "u")).select("t", "u", words(F.col("text")).alias("words"))
+    theirs = _contexts(met.join(lists, ["t", "u"]), ["t", "u"], "places", window)
 
     def run(x: Column, y: Column) -> Column:
         """How many leading words of the two lists agree."""
