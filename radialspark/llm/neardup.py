@@ -41,6 +41,8 @@ WORDS = 16
 BLOCK = 512
 #: Pairs a row above which a round takes only some pivots of each bucket (PIVOTS, four times as many in each later round).
 ROW_PAIRS, PIVOTS = 4, 8
+#: Pairs that a task verifies with one and the same text.
+PAIRS = 256
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +169,30 @@ def linked(pairs: DataFrame, store: DataFrame, least: float = SIMILAR) -> DataFr
                 good = jaccard(batch.column("ta"), batch.column("tb")) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
-    left = merge_join(pairs, store.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
-    both = merge_join(left, store.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+    # Counted before texts are moved: a text with many pairs meets them block by block.
+    many = {}
+    for side in ("a", "b"):
+        counts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias(f"{side}_blocks"))
+        many[side] = materialize(counts.filter(F.col(f"{side}_blocks") > 1))
+        pairs = merge_join(pairs, many[side], side, "left")
+    both = counted = materialize(pairs)
+    for side, other in (("a", "b"), ("b", "a")):
+        both = _with_text(both, store, side, other, many[side])
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
+    drop_scratch(counted, *many.values())
+    return out
+
+
+def _with_text(pairs: DataFrame, store: DataFrame, side: str, other: str, many: DataFrame) -> DataFrame:
+    """pairs with the text of one side; many(side, blocks): the texts that are needed in more than one block of pairs."""
+    texts = store.select(F.col("tid").alias(side), F.col("text").alias(f"t{side}"))
+    blocks = F.col(f"{side}_blocks")
+    few = merge_join(pairs.filter(blocks.isNull()), texts, side)
+    if many.isEmpty():
+        return few
+    copies = merge_join(texts, many, side).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop(blocks)
+    rest = pairs.filter(blocks > 1).withColumn("block", F.pmod(F.xxhash64(other), blocks).cast("int"))
+    return few.unionByName(merge_join(rest, copies, [side, "block"]).drop("block"))
 
 
 def components(links: DataFrame) -> DataFrame:
