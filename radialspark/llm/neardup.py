@@ -170,29 +170,31 @@ def linked(pairs: DataFrame, store: DataFrame, least: float = SIMILAR) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
     # Counted before texts are moved: a text with many pairs meets them block by block.
-    many = {}
-    for side in ("a", "b"):
-        counts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias(f"{side}_blocks"))
-        many[side] = materialize(counts.filter(F.col(f"{side}_blocks") > 1))
-        pairs = merge_join(pairs, many[side], side, "left")
-    both = counted = materialize(pairs)
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("tid")), F.struct(F.lit("b").alias("side"), F.col("b").alias("tid")))).alias("x"))
+    many = ends.groupBy("x.side", "x.tid").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("blocks")).filter("blocks > 1")
+    many = materialize(many) if pairs.count() > PAIRS else None
+    both, counted = pairs, None
+    if many is not None and not many.isEmpty():
+        for side in ("a", "b"):
+            both = merge_join(both, many.filter(F.col("side") == side).select(F.col("tid").alias(side), F.col("blocks").alias(f"{side}_blocks")), side, "left")
+        both = counted = materialize(both)
     for side, other in (("a", "b"), ("b", "a")):
-        both = _with_text(both, store, side, other, many[side])
+        both = _with_text(both, store, side, other, counted)
     out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
-    drop_scratch(counted, *many.values())
+    drop_scratch(*(x for x in (many, counted) if x is not None))
     return out
 
 
-def _with_text(pairs: DataFrame, store: DataFrame, side: str, other: str, many: DataFrame) -> DataFrame:
-    """pairs with the text of one side; many(side, blocks): the texts that are needed in more than one block of pairs."""
+def _with_text(pairs: DataFrame, store: DataFrame, side: str, other: str, counted: DataFrame | None) -> DataFrame:
+    """pairs with the text of one side; counted: their ids alone, with the number of blocks of a text that has several."""
     texts = store.select(F.col("tid").alias(side), F.col("text").alias(f"t{side}"))
-    blocks = F.col(f"{side}_blocks")
-    few = merge_join(pairs.filter(blocks.isNull()), texts, side)
-    if many.isEmpty():
-        return few
-    copies = merge_join(texts, many, side).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop(blocks)
-    rest = pairs.filter(blocks > 1).withColumn("block", F.pmod(F.xxhash64(other), blocks).cast("int"))
-    return few.unionByName(merge_join(rest, copies, [side, "block"]).drop("block"))
+    if counted is None:
+        return merge_join(pairs, texts, side)
+    n = F.col(f"{side}_blocks")
+    block = F.pmod(F.xxhash64(other), n).cast("int").alias("block")
+    few = merge_join(pairs.filter(n.isNull()), texts, side)
+    copies = merge_join(texts, counted.filter(n > 1).select(side, block).distinct(), side)
+    return few.unionByName(merge_join(pairs.filter(n > 1).withColumn("block", block), copies, [side, "block"]).drop("block"))
 
 
 def components(links: DataFrame) -> DataFrame:
