@@ -26,8 +26,8 @@ from .langid import chunks
 from .repeats import CHUNK, Units, covered, settle, settle_windows, several, spans, text_store, with_lists
 
 WINDOW, GRAM = 100, 32
-#: Bytes that are sorted together, unless one fingerprint has more; a fingerprint of more than HOT is split.
-SHARD, HOT = 1 << 20, 1 << 26
+#: A shard ends with the fingerprint that brings it to SHARD bytes; a fingerprint of more than HOT is split.
+SHARD, HOT = 1 << 20, 1 << 23
 
 
 def segments(store: DataFrame, look: DataFrame, window: int) -> DataFrame:
@@ -74,25 +74,30 @@ def _late(rows: pa.Table, window: int) -> pa.RecordBatch:
 
 
 def later_windows(pieces: DataFrame, window: int) -> DataFrame:
-    """tid, start of the windows in pieces that are equal to a window earlier in (tid, start); a shard per partition."""
+    """tid, start of the windows in pieces that are equal to a window earlier in (tid, start).
+
+    Each partition is in order of fp and read as a stream, of which one shard is held at a time.
+    """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks().sort_by("fp")
-        del held
-        # Equal windows share a fingerprint, so a shard may be cut between fingerprints.
-        fp = rows.column("fp").to_numpy()
-        ends = np.cumsum(rows.column("n").to_numpy().astype(np.int64) + window)
-        cuts = np.append(np.flatnonzero(fp[1:] != fp[:-1]) + 1, len(fp))
-        low = 0
-        while low < len(fp):
-            most = np.searchsorted(ends, (ends[low - 1] if low else 0) + SHARD, "right")
-            fits = cuts[(cuts > low) & (cuts <= most)]
-            high = int(fits[-1] if len(fits) else cuts[np.searchsorted(cuts, low, "right")])
-            yield _late(rows.slice(low, high - low), window)
-            low = high
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for big in batches:
+            for batch in chunks(big, "seg", SHARD):
+                fp = batch.column("fp").to_numpy()
+                before = np.append(0, np.cumsum(batch.column("n").to_numpy().astype(np.int64) + window))
+                # Equal windows share a fingerprint, so a shard may end where one begins.
+                cuts = np.flatnonzero(np.append(last is None or fp[0] != last, fp[1:] != fp[:-1]))
+                low = 0
+                while len(fits := cuts[(cuts >= low) & (before[cuts] >= before[low] + SHARD - size)]):
+                    cut = int(fits[0])
+                    yield _late(pa.Table.from_batches([*held, batch.slice(low, cut - low)]), window)
+                    held, size, low = [], 0, cut
+                held.append(batch.slice(low))
+                size += int(before[-1] - before[low])
+                last = fp[-1]
+        if held:
+            yield _late(pa.Table.from_batches(held), window)
 
     return pieces.mapInArrow(sort, "tid long, start int")
 
@@ -113,7 +118,7 @@ def repeated_byte_ranges(store: DataFrame, window: int = WINDOW, gram: int = GRA
         many = merge_join(look, large, "fp", "left_semi").select("tid", "at", "n", F.lit(True).alias("single"))
         split = settle_windows([store], many, window, False).filter("tid <> rt OR at <> ra").select("tid", F.col("at").alias("start"))
         rest = merge_join(look, large, "fp", "left_anti")
-    pieces = segments(store, rest, window).repartition(partitions(store.sparkSession), "fp")
+    pieces = segments(store, rest, window).repartition(partitions(store.sparkSession), "fp").sortWithinPartitions("fp")
     windows = later_windows(pieces, window)
     if split is not None:
         windows = windows.unionByName(split)
