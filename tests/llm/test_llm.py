@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from radialspark.llm import chat, decontaminate, fingerprint, langid, neardup, packing, queries, repeats, shard, substring, suffix, toxicity
+from radialspark.llm.common import bucketed, materialize
 from radialspark.llm.induced import equal_windows, suffixes
 
 SF = "/root/testdata/sf0.001"
@@ -415,8 +416,9 @@ def test_false_equals_are_taken_apart(spark):
         assert sorted(tuple(r)[:4] for r in got.collect()) == sorted([(tid[2], 0, tid[1], 0), (tid[2], 1, tid[1], 1), (tid[2], 2, tid[1], 2), (tid[3], 0, tid[1], 0), (tid[3], 1, tid[1], 1)])
 
 
-def test_hot_fingerprints_are_split(spark, rows, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 300)
+@pytest.mark.parametrize("name, most", [("HOT", 300), ("SHARD", 1), ("SHARD", 700)])
+def test_shards_of_any_size_give_one_result(spark, rows, monkeypatch, name, most):
+    monkeypatch.setattr(suffix, name, most)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.op9_suffix(spark, SF).collect()}
     assert got == _brute_bytes(rows)
 
@@ -494,6 +496,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc[0] >= 0.85 and auc[0] >= auc[1] - 0.03
 
 
+def test_copies_of_a_contaminated_text(spark):
+    """Copies of one text, spread over partitions, each get the result of the one that is searched."""
+    text = "a one two three four b"
+    docs = spark.createDataFrame([(i, text if i % 10 else f"c {i}") for i in range(400)], "doc_id long, text string").repartition(16)
+    items = spark.createDataFrame([("i", "One two three four")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["hits"], r["item_ids"]) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {i: (6, [1, 2, 3, 4], ["i"]) if i % 10 else (2, [], []) for i in range(400)}
+
+
 def test_long_items(spark):
     """Items and documents of many words: work and rows stay linear in them."""
     words = [f"v{i}" for i in range(100_000)]
@@ -551,6 +562,19 @@ def test_near_dedup_by_growing_pivots(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == want
 
 
+def test_texts_of_many_pairs_are_verified_in_blocks(spark, monkeypatch):
+    """A text that has many pairs, on either side, meets them in blocks, with the links that one join by it gives."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] + [" ".join(base[:-1] + [f"x{i}"] if i % 3 else [f"x{i}{w}" for w in base]) for i in range(1, 40)]
+    store = bucketed(spark.createDataFrame(list(enumerate(texts)), "tid long, text string"), "tid")
+    pairs = materialize(spark.createDataFrame([(min(p, i), max(p, i)) for p in (0, 20) for i in range(40) if i != p], "a long, b long").distinct())
+    want = sorted(map(tuple, neardup.linked(pairs, store).collect()))
+    assert want == sorted({(min(p, i), max(p, i)) for p in (0, 20) for i in range(40) if i != p and (i == 0 or i % 3)})
+    for most in (1, 7):
+        monkeypatch.setattr(neardup, "PAIRS", most)
+        assert sorted(map(tuple, neardup.linked(pairs, store).collect())) == want
+
+
 def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
     """Null and repeated doc_ids: each class keeps one row, whatever ids others have; the least id's text stays."""
     text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
