@@ -2,8 +2,9 @@
 
 Plan: halos become at most eight periodic images each, images become the grid cells that their query box covers, and cells
 meet particles in an equi-join on the cell; the exact float predicate then decides. Only the halo side is multiplied, by a
-number that depends on radius and cell size alone. One pass counts all shells. Catalyst broadcasts the cells if they are
-small and shuffles on the cell otherwise; AQE splits skewed cells.
+number that depends on radius and cell size alone. One pass counts all shells. The join is always a merge join: Catalyst
+takes the cells for as small as the halos' file, and would broadcast them through the driver. AQE splits skewed cells.
+Halos at one place are searched once.
 """
 
 from __future__ import annotations
@@ -73,12 +74,29 @@ def neighbours(halos: DataFrame, particles: DataFrame, radius: float, *, periodi
     p = particles.select(*keep, *[f32(F.col(a)).alias(f"p{a}") for a in "xyz"], *[_cell(f32(F.col(a)), edge).alias(f"g{a}") for a in "xyz"])
     d2 = squared_distance([F.col(f"i{a}") for a in "xyz"], [F.col(f"p{a}") for a in "xyz"])
     limit = float32(float32(radius) ** 2)
-    joined = p.join(cells, ["gx", "gy", "gz"]).withColumn("d2", d2).filter(F.col("d2") < f32(limit))
+    joined = p.join(cells.hint("merge"), ["gx", "gy", "gz"]).withColumn("d2", d2).filter(F.col("d2") < f32(limit))
     if exclude_coincident:
         joined = joined.filter(F.col("d2") > f32(0.0))
     return joined.select("halo_row", "d2", *keep)
 
 
+def sites(halos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(halo_row, site) and, to be searched in place of the halos, (halo_row, x, y, z) with the site as halo_row.
+
+    A site is the list of the points of a halo_row, one as a rule, as text: halos at one place share it.
+    """
+    at = F.array_sort(F.collect_list(F.struct(*[f32(F.col(a)).alias(a) for a in "xyz"])))
+    rows = halos.groupBy("halo_row").agg(at.alias("at")).select("halo_row", F.col("at").cast("string").alias("site"), "at")
+    places = rows.groupBy("site").agg(F.first("at").alias("at")).select(F.col("site").alias("halo_row"), F.inline("at"))
+    return rows.select("halo_row", "site"), places
+
+
+def of_halos(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for sites, given to each halo; a merge join, since both sides grow with the halos."""
+    names = found.columns[1:]
+    return rows.hint("merge").join(found.withColumnRenamed("halo_row", "site"), "site").select("halo_row", *names)
+
+
 def shell_counts_long(halos: DataFrame, particles: DataFrame, radii: Sequence[float], *, by: Sequence[str] = (), **options) -> DataFrame:
     """halo_row, by, shell, n for the shells that hold a particle; the form for many shells."""
     radii = check_radii(radii)
@@ -133,7 +151,8 @@ def range_search(halos: DataFrame, particles: DataFrame, radius: float, **option
     """halo_row, pid of the particles nearer than a true radius; a negative radius finds nothing."""
     if radius < 0:
         return halos.sparkSession.createDataFrame([], "halo_row long, pid long")
-    return neighbours(halos, particles, radius, keep=["pid"], **options).select("halo_row", "pid")
+    rows, places = sites(halos)
+    return of_halos(rows, neighbours(places, particles, radius, keep=["pid"], **options).select("halo_row", "pid"))
 
 
 def accumulate(parts: Sequence[DataFrame]) -> DataFrame:

@@ -219,3 +219,22 @@ def test_tree(spark):
     low = leaves.agg(*[F.min(a) for a in "xyz"]).first()
     assert (root["low_x"], root["low_y"], root["low_z"]) == tuple(low)
     assert tiling.traverse(levels).count() == 50 and tiling.node_count(437) == 487
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["range_search_pairs"])
+def test_nothing_that_grows_is_broadcast(spark, name):
+    """Catalyst takes cells for as small as the halos' file; at 60 times sf0.1 they did not fit into the driver."""
+    assert "Broadcast" not in plan_of(catalog.QUERIES[name](spark, SF))
+
+
+def test_halos_at_one_place(spark):
+    halos = spark.createDataFrame([(1, 1, 5.0, 5.0, 5.0), (2, 2, 5.0, 5.0, 5.0), (3, 3, 1.0, 5.0, 5.0), (3, 4, 5.0, 5.0, 5.0)], "halo_row long, id long, x double, y double, z double")
+    particles = spark.createDataFrame([(7, 999.0, 5.0, 5.0), (8, 6.0, 5.0, 5.0)], "pid long, x double, y double, z double")
+    got = sorted(map(tuple, shells.range_search(halos, particles, 3.0).collect()))
+    assert got == [(1, 8), (2, 8), (3, 7), (3, 8)]
+    got = sorted(map(tuple, shells.range_search(halos, particles, 6.0).collect()))
+    assert got == [(1, 8), (2, 8), (3, 7), (3, 8), (3, 8)]
