@@ -100,8 +100,9 @@ def of_halos(rows: DataFrame, found: DataFrame) -> DataFrame:
 def shell_counts_long(halos: DataFrame, particles: DataFrame, radii: Sequence[float], *, by: Sequence[str] = (), **options) -> DataFrame:
     """halo_row, by, shell, n for the shells that hold a particle; the form for many shells."""
     radii = check_radii(radii)
-    near = neighbours(halos, particles, radii[-1], keep=list(by), **options)
-    return near.withColumn("shell", shell_of(F.col("d2"), radii)).groupBy("halo_row", *by, "shell").agg(F.count("*").alias("n"))
+    rows, places = sites(halos)
+    near = neighbours(places, particles, radii[-1], keep=list(by), **options)
+    return of_halos(rows, near.withColumn("shell", shell_of(F.col("d2"), radii)).groupBy("halo_row", *by, "shell").agg(F.count("*").alias("n")))
 
 
 def shell_counts(halos: DataFrame, particles: DataFrame, radii: Sequence[float], *, filter_ids: DataFrame | None = None, by: Sequence[str] = (), **options) -> DataFrame:
@@ -112,8 +113,9 @@ def shell_counts(halos: DataFrame, particles: DataFrame, radii: Sequence[float],
     radii = check_radii(radii)
     if filter_ids is not None:
         halos = semi_filter(halos, filter_ids)
-    near = neighbours(halos, particles, radii[-1], keep=list(by), **options).withColumn("shell", shell_of(F.col("d2"), radii))
-    counts = near.groupBy("halo_row", *by).agg(*[F.count(F.when(F.col("shell") == i, 1)).alias(f"n{i}") for i in range(len(radii))])
+    rows, places = sites(halos)
+    near = neighbours(places, particles, radii[-1], keep=list(by), **options).withColumn("shell", shell_of(F.col("d2"), radii))
+    counts = of_halos(rows, near.groupBy("halo_row", *by).agg(*[F.count(F.when(F.col("shell") == i, 1)).alias(f"n{i}") for i in range(len(radii))]))
     if by:
         return counts
     zero = [F.coalesce(f"n{i}", F.lit(0)).cast("long").alias(f"n{i}") for i in range(len(radii))]
