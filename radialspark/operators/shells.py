@@ -157,6 +157,15 @@ def range_search(halos: DataFrame, particles: DataFrame, radius: float, **option
     return of_halos(rows, neighbours(places, particles, radius, keep=["pid"], **options).select("halo_row", "pid"))
 
 
+def range_lists(halos: DataFrame, particles: DataFrame, radius: float, **options) -> DataFrame:
+    """halo_row, pids (ascending, joined by commas) and their number n, for halos that range_search finds particles for."""
+    rows, places = sites(halos)
+    near = neighbours(places, particles, radius, keep=["pid"], **options).filter(F.lit(radius >= 0))
+    lists = near.groupBy("halo_row").agg(F.array_sort(F.collect_list("pid")).alias("pids"), F.count("*").alias("n"))
+    text = F.concat_ws(",", F.transform("pids", lambda x: x.cast("string")))
+    return of_halos(rows, lists.select("halo_row", text.alias("pids"), "n"))
+
+
 def accumulate(parts: Sequence[DataFrame]) -> DataFrame:
     """Counts of several particle batches added up."""
     rows = parts[0]

@@ -136,8 +136,7 @@ def range_search_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("range_search_ids", f"WITH {_near_sql(20)} SELECT halo_row, string_agg(pid, ',' ORDER BY pid) AS pids, count(*) AS n FROM j WHERE d2 < 400 GROUP BY halo_row")
 def range_search_ids(spark: SparkSession, d: str) -> DataFrame:
-    pids = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("pid")), lambda x: x.cast("string")))
-    return range_search_pairs(spark, d).groupBy("halo_row").agg(pids.alias("pids"), F.count("*").alias("n"))
+    return shells.range_lists(halos(spark, d), particles(spark, d), 20.0)
 
 
 @query("halo_scan", f"WITH {H_SQL} SELECT id, printf('%d: %f {{%f %f %f}}', id, CAST(id AS DOUBLE), CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(z AS DOUBLE)) AS line FROM h")

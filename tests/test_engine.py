@@ -225,7 +225,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["range_search_pairs", "shell_count_periodic", "accumulated_batches", "shell_count_by_batch", "shell_count_exclude_coincident", "shell_count_long", "shell_count_total_rollup", "mbr_overlap_join"])
+@pytest.mark.parametrize("name", ["range_search_pairs", "shell_count_periodic", "accumulated_batches", "shell_count_by_batch", "shell_count_exclude_coincident", "shell_count_long", "shell_count_total_rollup", "mbr_overlap_join", "range_search_ids"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     """Catalyst takes cells for as small as the halos' file; at 60 times sf0.1 they did not fit into the driver."""
     assert "Broadcast" not in plan_of(catalog.QUERIES[name](spark, SF))
@@ -238,5 +238,8 @@ def test_halos_at_one_place(spark):
     assert got == [(1, 8), (2, 8), (3, 7), (3, 8)]
     got = sorted(map(tuple, shells.range_search(halos, particles, 6.0).collect()))
     assert got == [(1, 8), (2, 8), (3, 7), (3, 8), (3, 8)]
+    got = sorted(map(tuple, shells.range_lists(halos, particles, 6.0).collect()))
+    assert got == [(1, "8", 1), (2, "8", 1), (3, "7,8,8", 3)]
+    assert shells.range_lists(halos, particles, -6.0).count() == 0
     got = sorted(map(tuple, shells.shell_counts(halos, particles, [3.0, 6.0]).collect()))
     assert got == [(1, 1, 1, 0), (2, 2, 1, 0), (3, 3, 2, 1), (3, 4, 2, 1)]
