@@ -231,6 +231,13 @@ def test_nothing_that_grows_is_broadcast(spark, name):
     assert "Broadcast" not in plan_of(catalog.QUERIES[name](spark, SF))
 
 
+def test_report_of_counts_without_broadcast(spark, monkeypatch):
+    seen, write = [], text.write_report_files
+    monkeypatch.setattr(text, "write_report_files", lambda counts, *a: (seen.append(plan_of(counts)), write(counts, *a)))
+    assert sum(r["n"] for r in catalog.QUERIES["report_text"](spark, SF).collect()) == 4 * 150 + 5
+    assert len(seen) == 1 and "Broadcast" not in seen[0]
+
+
 def test_halos_at_one_place(spark):
     halos = spark.createDataFrame([(1, 1, 5.0, 5.0, 5.0), (2, 2, 5.0, 5.0, 5.0), (3, 3, 1.0, 5.0, 5.0), (3, 4, 5.0, 5.0, 5.0)], "halo_row long, id long, x double, y double, z double")
     particles = spark.createDataFrame([(7, 999.0, 5.0, 5.0), (8, 6.0, 5.0, 5.0)], "pid long, x double, y double, z double")
