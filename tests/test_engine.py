@@ -225,7 +225,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["range_search_pairs", "shell_count_periodic", "accumulated_batches", "shell_count_by_batch", "shell_count_exclude_coincident", "shell_count_long", "shell_count_total_rollup", "mbr_overlap_join", "range_search_ids", "shell_count_cumulative", "shell_count_nonperiodic"])
+@pytest.mark.parametrize("name", ["range_search_pairs", "shell_count_periodic", "accumulated_batches", "shell_count_by_batch", "shell_count_exclude_coincident", "shell_count_long", "shell_count_total_rollup", "mbr_overlap_join", "range_search_ids", "shell_count_cumulative", "shell_count_nonperiodic", "shell_count_total"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     """Catalyst takes cells for as small as the halos' file; at 60 times sf0.1 they did not fit into the driver."""
     assert "Broadcast" not in plan_of(catalog.QUERIES[name](spark, SF))
